@@ -248,6 +248,12 @@ def _digested(units: Units):
     return work
 
 
+def _settled(batches):
+    """Windows found, without the pieces handed on. It takes all columns, so that both uses of the exchange ask for the same."""
+    for batch in batches:
+        yield batch.filter(pa.array(np.asarray(batch.column(5).is_null()))).select(["id", "tag", "a", "n"])
+
+
 def spans(rows: DataFrame, units: Units, later: bool) -> DataFrame:
     """rows: keyed(). id, tag and found, an array of (a, n): windows a..a+n-1 of the document stand elsewhere too (later: in an earlier place)."""
     runs = rows.mapInArrow(_runs(units), _RUN_SCHEMA).repartition("h", "s").sortWithinPartitions("h", "s")
@@ -258,7 +264,7 @@ def spans(rows: DataFrame, units: Units, later: bool) -> DataFrame:
     # both uses read one exchange; the pieces in it are those of too frequent keys
     wide = found.mapInArrow(_digested(units), "d long, e long, id long, tag int, a int, n int").repartition("d", "e").sortWithinPartitions("d", "e", "id", "tag", "a")
     wide = wide.mapInArrow(_neighbours(["d", "e"], not later, ["id", "tag", "a", "n"]), "id long, tag int, a int, n int")
-    plain = found.select("id", "tag", F.when(F.col("piece").isNull(), F.struct("a", "n")).alias("x"))
+    plain = found.mapInArrow(_settled, "id long, tag int, a int, n int").select("id", "tag", F.struct("a", "n").alias("x"))
     both = plain.unionByName(wide.select("id", "tag", F.struct("a", "n").alias("x")))
     return both.groupBy("id", "tag").agg(F.collect_list("x").alias("found"))
 
