@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -115,20 +116,24 @@ class Counts:
 
 
 class Words(dict):
-    """Word to class, remembered."""
+    """Word to code, remembered: a frequent word's code is its number, any other word's is the number of frequent ones plus its bucket."""
 
-    def __init__(self, head: list[bytes]):
-        super().__init__((w, i) for i, w in enumerate(head))
-        self.start = dict(self)
+    def __init__(self, counts: Counts):
+        head = set(counts.head)
+        self.frequent = counts.head + [w for w in counts.n if w not in head]
+        super().__init__((w, i) for i, w in enumerate(self.frequent))
+        self.held = len(self.frequent) + _HELD
+        self.classes = np.array([i if i < len(counts.head) else HEAD + 1 + bucket_of(w) for i, w in enumerate(self.frequent)] + [HEAD + 1 + b for b in range(BUCKETS)])
+        self.logs = np.log10([counts.n.get(w, 0) + 0.1 for w in self.frequent] + [0.1] * BUCKETS)
 
     def __missing__(self, word: bytes) -> int:
-        out = self[word] = HEAD + 1 + bucket_of(word)
+        out = self[word] = len(self.frequent) + bucket_of(word)
         return out
 
     def trim(self) -> None:
-        if len(self) > _HELD:
+        if len(self) > self.held:
             self.clear()
-            self.update(self.start)
+            self.update((w, i) for i, w in enumerate(self.frequent))
 
 
 class LogBilinear:
@@ -157,20 +162,22 @@ class LogBilinear:
             out += (self.vector * self.weight[j])[sequence[at - 1 - j]]
         return out
 
-    def log_probabilities(self, sequence: np.ndarray, at: np.ndarray, step: int = 8192) -> np.ndarray:
+    def log_probabilities(self, sequence: np.ndarray, at: np.ndarray, step: int = 1024) -> np.ndarray:
         """Normalised natural log-probabilities of the classes at the positions `at` of a padded sequence."""
         out = np.zeros(len(at))
-        for a in range(0, len(at), step):
+        for a in range(0, len(at), step):  # steps whose scores stay in the processor's cache
             here = at[a : a + step]
             scores = self.predicted(sequence, here) @ self.target.T
             scores += self.bias
             own = scores[np.arange(len(here)), sequence[here]]
-            top = scores.max(1)
-            scores -= top[:, None]
-            out[a : a + step] = own - top - np.log(np.exp(scores, out=scores).sum(1))
+            top = scores.max()
+            if top > 60 or scores.min() < -60:  # beyond what sums of single-precision exponentials hold
+                scores = scores.astype(np.float64) - scores.max(1, keepdims=True)
+                own = scores[np.arange(len(here)), sequence[here]]
+            out[a : a + step] = own - np.log(np.exp(scores, out=scores).sum(1))
         return out
 
-    def train(self, sequence: np.ndarray, at: np.ndarray, rng: np.random.Generator, state: dict, rate: float = 0.08, noise: int = 32, step: int = 1024) -> None:
+    def train(self, sequence: np.ndarray, at: np.ndarray, rng: np.random.Generator, state: dict, rate: float = 0.08, noise: int = 32, step: int = 4096) -> None:
         """Noise-contrastive estimation by Adagrad; each step's positions share their noise draws."""
         if not state:
             state.update({k: np.full(getattr(self, k).shape, 1e-3) for k in ("vector", "weight", "target", "bias")})
@@ -205,41 +212,38 @@ class LogBilinear:
                 getattr(self, name)[...] -= (rate * gradient / np.sqrt(state[name])).astype(np.float32)
 
 
-def sequences(texts: list[list[bytes]], words: Words, classes: int) -> tuple[np.ndarray, np.ndarray]:
-    """The texts' classes in one array, each text after CONTEXT starting marks; and the positions of the tokens."""
-    parts, at, here = [], [], 0
-    mark = [classes] * CONTEXT
-    for tokens in texts:
-        parts += mark
-        parts += map(words.__getitem__, tokens)
-        here += CONTEXT
-        at.append(np.arange(here, here + len(tokens)))
-        here += len(tokens)
-    return np.array(parts, np.int64), np.concatenate(at) if at else np.zeros(0, np.int64)
+def sequences(texts: list[list[bytes]], words: Words, classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The tokens' codes, laid end to end; their classes in one array, each text after CONTEXT starting marks; and the tokens' places in that."""
+    codes = np.fromiter(map(words.__getitem__, chain.from_iterable(texts)), np.int64, sum(map(len, texts)))
+    at = np.arange(len(codes)) + CONTEXT * np.repeat(np.arange(1, len(texts) + 1), [len(t) for t in texts])
+    sequence = np.full(len(codes) + CONTEXT * len(texts), classes)
+    sequence[at] = words.classes[codes]
+    return codes, sequence, at
 
 
 def train(docs: DataFrame, counts: Counts, id_col: str = "doc_id", text_col: str = "text", seed: int = 11) -> LogBilinear:
     """A model learned from all rows of docs."""
     model = LogBilinear(counts.class_shares())
-    sample = docs.where(F.length(text_col) <= WARM_LENGTH).select(F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(text_col).alias("t")).orderBy("h", "t").limit(WARM_DOCUMENTS).collect()
-    if not sample:
-        return model
-    rng, state, words = np.random.default_rng(seed), {}, Words(counts.head)
-    sequence, at = sequences([_tokens(r.t) for r in sample], words, counts.classes)
+    n = max(1, docs.count())
+    chosen = F.pmod(F.xxhash64(F.col(id_col).cast("string"), text_col), F.lit(n)) < WARM_DOCUMENTS
+    sample = docs.where(chosen & (F.length(text_col) <= WARM_LENGTH)).select(F.col(text_col).alias("t")).limit(2 * WARM_DOCUMENTS).collect()
+    sample = sorted(r.t for r in sample)
+    rng, state, words = np.random.default_rng(seed), {}, Words(counts)
+    _, sequence, at = sequences([_tokens(t) for t in sample], words, counts.classes)
     for _ in range(2):
-        model.train(sequence, at, rng, state)
+        model.train(sequence, at, rng, state, step=1024)
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((model, state, counts.head))
+    shared = spark.sparkContext.broadcast((model, state, counts))
 
     def learn(batches):
-        own, start, head = shared.value
+        own, start, counts = shared.value
         mine, classes = LogBilinear(own.shares), len(own.shares)
         mine.load(own.flat())
-        state, words, seen = {k: v.copy() for k, v in start.items()}, Words(head), 0
+        state, words, seen = {k: v.copy() for k, v in start.items()}, Words(counts), 0
         rng = np.random.default_rng([seed, TaskContext.get().partitionId()])
         for batch in batches:
             for part in pieces(batch, text_col):
-                sequence, at = sequences([_tokens(t) for t in part.column(0).to_pylist()], words, classes)
+                _, sequence, at = sequences([_tokens(t) for t in part.column(0).to_pylist()], words, classes)
                 words.trim()
                 mine.train(sequence, at, rng, state)
                 seen += len(at)
@@ -265,28 +269,27 @@ def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", t
 
     def run(batches):
         counts, model = shared.value
-        task, done, words = TaskContext.get().partitionId(), 0, Words(counts.head)
-        logs = {w: np.log10(n + 0.1) for w, n in counts.n.items()}
-        head_share = np.array([counts.n.get(w, 0) + 0.1 for w in counts.head] + [0.1] * (HEAD + 1 - len(counts.head)))
-        # log10 of what a bucket's word count is divided by; a head word needs no share: its class is the word
-        divide = np.concatenate([np.log10(head_share), np.log10(counts.bucket[:, 0] + 0.1 * (counts.bucket[:, 1] + 1))])
-        unseen = np.log10(0.1)
+        task, done, words = TaskContext.get().partitionId(), 0, Words(counts)
+        # log10 of what a word's smoothed count is divided by within its class; a word that is its class has all of it
+        own_class = np.full(HEAD + 1, np.log10(0.1))
+        own_class[: len(counts.head)] = words.logs[: len(counts.head)]
+        divide = np.concatenate([own_class, np.log10(counts.bucket[:, 0] + 0.1 * (counts.bucket[:, 1] + 1))])
+        frequent = len(words.frequent)
         for batch in batches:
             for part in pieces(batch, text_col):
                 texts = [_tokens(t) for t in part.column(2).to_pylist()]
-                sequence, at = sequences(texts, words, counts.classes)
+                codes, sequence, at = sequences(texts, words, counts.classes)
                 words.trim()
                 logp = model.log_probabilities(sequence, at) / np.log(10) - divide[sequence[at]]
                 border = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-                totals = np.concatenate([[0], np.cumsum(logp)])
-                by_class = totals[border[1:]] - totals[border[:-1]]
-                known, rest, n_known = [], [], []
-                for tokens in texts:
-                    found = [logs.get(t) for t in tokens]
-                    missing = [t for t, x in zip(tokens, found) if x is None]
-                    known.append(float(sum(x for x in found if x is not None)) + (len(missing) * unseen if counts.whole else 0))
-                    n_known.append(len(tokens) - len(missing))
-                    rest.append([] if counts.whole else [{"token": t, "times": k} for t, k in Counter(missing).items()])
+                held = (codes < frequent) & (words.logs[codes] > np.log10(0.5))  # END may have no count
+                logs = np.where(held | counts.whole, words.logs[codes], 0.0)
+                by_class, known, n_known = (np.add.reduceat(x, border[:-1]) for x in (logp, logs, held.astype(np.int64)))
+                rest = [[] for _ in texts]
+                if not counts.whole:
+                    missing = np.flatnonzero(~held)
+                    for d, (i, j) in enumerate(zip(*np.searchsorted(missing, [border[:-1], border[1:]]).tolist())):
+                        rest[d] = [{"token": t, "times": k} for t, k in Counter(texts[d][m] for m in (missing[i:j] - border[d]).tolist()).items()]
                 n = part.num_rows
                 yield pa.RecordBatch.from_arrays(
                     [
