@@ -36,8 +36,17 @@ GROUP_ROWS, BLOCK_BYTES = 50_000, 1 << 20
 #: Runs, and bytes of pieces, that a task holds to find repeats among them.
 HELD_RUNS, HELD_BYTES = 600_000, 24 << 20
 
-_RUN = ["h", "s", "id", "tag", "a", "n", "off", "known"]
-_RUN_SCHEMA = "h long, s int, id long, tag int, a int, n int, off int, known boolean"
+#: m holds a run's number of windows, the anchor's offset (11 bits) and whether it is a candidate already (1 bit).
+_RUN_SCHEMA = "h long, s int, id long, tag int, a int, m long"
+_OFFSETS = 1 << 11
+
+
+def packed(n, off, known):
+    return n * (2 * _OFFSETS) + off * 2 + known
+
+
+def unpacked(m):
+    return m // (2 * _OFFSETS), m // 2 % _OFFSETS, m % 2 == 1
 
 
 class Units(Protocol):
@@ -75,7 +84,7 @@ def _runs(units: Units):
         known[order] |= again | np.concatenate([same, [False]])
         s = np.zeros(len(h), np.int32)
         s[order[again]] = 1 + np.arange(again.sum(), dtype=np.int32)  # dealt anywhere
-        return _batch({"h": pa.array(h), "s": pa.array(s), "id": pa.array(id_), "tag": pa.array(tag), "a": pa.array(a, pa.int32()), "n": pa.array(n, pa.int32()), "off": pa.array(off, pa.int32()), "known": pa.array(known)})
+        return _batch({"h": pa.array(h), "s": pa.array(s), "id": pa.array(id_), "tag": pa.array(tag), "a": pa.array(a, pa.int32()), "m": pa.array(packed(n, off, known))})
 
     def work(batches):
         held, rows = [], 0
@@ -110,8 +119,8 @@ def _neighbours(columns: list[str], both: bool, out: list[str]):
             take = same.copy()
             if both:
                 take[:-1] |= same[1:]
-            if "known" in batch.schema.names:
-                take |= batch.column(batch.schema.get_field_index("known")).to_numpy(zero_copy_only=False)
+            if "m" in batch.schema.names:
+                take |= unpacked(np.asarray(batch.column(batch.schema.get_field_index("m"))))[2]
             if both and same[0] and not given:
                 yield last.select(out)
             given = bool(take[-1])
@@ -122,7 +131,7 @@ def _neighbours(columns: list[str], both: bool, out: list[str]):
     return work
 
 
-_PIECE_SCHEMA = "h long, s int, id long, tag int, a int, n int, off int, piece binary, known boolean"
+_PIECE_SCHEMA = "h long, s int, id long, tag int, a int, m long, piece binary"
 
 
 def _cut(units: Units, later: bool):
@@ -137,11 +146,12 @@ def _cut(units: Units, later: bool):
                     if i != first:
                         spread += 1
                         s[i] = spread
-        h, id_, tag, a, n, off, piece = zip(*rows)
+        # in order of keys, so that like pieces stand together and compress well
+        h, id_, tag, a, n, off, piece, s, known = zip(*sorted(((*r[:6], r[6] if x else None, t, k) for r, x, t, k in zip(rows, send, s, known)), key=lambda r: (r[0], r[6] or b"")))
         return _batch(
             {
-                "h": pa.array(h, pa.int64()), "s": pa.array(s, pa.int32()), "id": pa.array(id_, pa.int64()), "tag": pa.array(tag, pa.int32()), "a": pa.array(a, pa.int32()), "n": pa.array(n, pa.int32()),
-                "off": pa.array(off, pa.int32()), "piece": pa.array([p if x else None for p, x in zip(piece, send)], pa.binary()), "known": pa.array(known),
+                "h": pa.array(h, pa.int64()), "s": pa.array(s, pa.int32()), "id": pa.array(id_, pa.int64()), "tag": pa.array(tag, pa.int32()), "a": pa.array(a, pa.int32()),
+                "m": pa.array(packed(np.array(n, np.int64), np.array(off), np.array(known))), "piece": pa.array(piece, pa.binary()),
             }
         )
 
@@ -153,7 +163,8 @@ def _cut(units: Units, later: bool):
                 lists = part.column(3)
                 border = np.asarray(lists.offsets) - lists.offsets[0].as_py()
                 flat = lists.flatten()
-                fields = [np.asarray(flat.field(k)).tolist() for k in range(4)]
+                n_of, off_of, _ = unpacked(np.asarray(flat.field(2)))
+                fields = [np.asarray(flat.field(0)).tolist(), np.asarray(flat.field(1)).tolist(), n_of.tolist(), off_of.tolist()]
                 for d, (id_, tag) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist())):
                     if later and (id_, tag) == last:
                         continue  # a row that repeats the one before is the same document
@@ -209,9 +220,12 @@ def _compare(units: Units, later: bool):
             plain = np.asarray(batch.column(batch.schema.get_field_index("piece")).is_null())
             if plain.any():  # resolved before
                 part = batch.filter(pa.array(plain))
-                yield _found(*[part.column(part.schema.get_field_index(c)).to_pylist() for c in ("id", "tag", "a", "n")])
+                n = unpacked(np.asarray(part.column(part.schema.get_field_index("m"))))[0].tolist()
+                yield _found(*[part.column(part.schema.get_field_index(c)).to_pylist() for c in ("id", "tag", "a")], n)
             part = batch.filter(pa.array(~plain))
-            for row in zip(*[part.column(part.schema.get_field_index(c)).to_pylist() for c in ("h", "id", "tag", "a", "n", "off", "piece", "known")]):
+            lists = {c: part.column(part.schema.get_field_index(c)).to_pylist() for c in ("h", "id", "tag", "a", "piece")}
+            n, off, known = (x.tolist() for x in unpacked(np.asarray(part.column(part.schema.get_field_index("m")))))
+            for row in zip(lists["h"], lists["id"], lists["tag"], lists["a"], n, off, lists["piece"], known):
                 if row[0] != key:
                     if wide and group:
                         yield hand_on(group)
@@ -257,8 +271,8 @@ def _settled(batches):
 def spans(rows: DataFrame, units: Units, later: bool) -> DataFrame:
     """rows: keyed(). id, tag and found, an array of (a, n): windows a..a+n-1 of the document stand elsewhere too (later: in an earlier place)."""
     runs = rows.mapInArrow(_runs(units), _RUN_SCHEMA).repartition("h", "s").sortWithinPartitions("h", "s")
-    candidates = runs.mapInArrow(_neighbours(["h", "s"], True, ["id", "tag", "h", "a", "n", "off"]), "id long, tag int, h long, a int, n int, off int")
-    lists = candidates.groupBy("id", "tag").agg((F.collect_set if later else F.collect_list)(F.struct("h", "a", "n", "off")).alias("runs"))
+    candidates = runs.mapInArrow(_neighbours(["h", "s"], True, ["id", "tag", "h", "a", "m"]), "id long, tag int, h long, a int, m long")
+    lists = candidates.groupBy("id", "tag").agg((F.collect_set if later else F.collect_list)(F.struct("h", "a", "m")).alias("runs"))
     cut = rows.join(lists, ["id", "tag"]).select("id", "tag", "text", "runs").mapInArrow(_cut(units, later), _PIECE_SCHEMA)
     found = cut.repartition("h", "s").sortWithinPartitions("h", "s").mapInArrow(_compare(units, later), _FOUND_SCHEMA).repartition("id", "tag")
     # both uses read one exchange; the pieces in it are those of too frequent keys
