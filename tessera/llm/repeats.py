@@ -4,6 +4,7 @@ A window is a fixed number of consecutive units (bytes or words) of one document
 key is the least hash of the grams in it (winnowing), so equal windows have equal keys,
 and consecutive windows mostly share theirs: a run of windows with one key is one row.
 
+ 0  of texts that occur more than once, only one is searched: nothing in the others is new;
  A  each task lists its runs; of those that share a key within the task only one is
     dealt by its key, the others are candidates already;
  B  runs whose key occurs twice or more are the candidates (a stream over sorted keys);
@@ -268,9 +269,19 @@ def _settled(batches):
         yield batch.filter(pa.array(np.asarray(batch.column(5).is_null()))).select(["id", "tag", "a", "n"])
 
 
+def _copies(rows: DataFrame) -> DataFrame:
+    """id, tag and copy for rows whose whole text occurs more than once: copy is false for those of the smallest id."""
+    keys = rows.select("id", "tag", F.xxhash64("text").alias("x"), F.octet_length("text").alias("size"))
+    text = ["x", "tag", "size"]  # a digest of over 96 bits, by two unlike hashes and the length
+    firsts = keys.groupBy(*text).agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    return keys.join(firsts, text).groupBy("id", "tag").agg(F.max(F.col("id") != F.col("first")).alias("copy"))
+
+
 def spans(rows: DataFrame, units: Units, later: bool) -> DataFrame:
-    """rows: keyed(). id, tag and found, an array of (a, n): windows a..a+n-1 of the document stand elsewhere too (later: in an earlier place)."""
-    runs = rows.mapInArrow(_runs(units), _RUN_SCHEMA).repartition("h", "s").sortWithinPartitions("h", "s")
+    """rows: keyed(). rows with copy (as in _copies(), null for texts that occur once) and found, an array of (a, n):
+    windows a..a+n-1 stand elsewhere too (later: in an earlier place). Whole copies have no windows listed; see removed()."""
+    marked = rows.join(_copies(rows), ["id", "tag"], "left")
+    runs = marked.where("copy is null or not copy").select("id", "tag", "text").mapInArrow(_runs(units), _RUN_SCHEMA).repartition("h", "s").sortWithinPartitions("h", "s")
     candidates = runs.mapInArrow(_neighbours(["h", "s"], True, ["id", "tag", "h", "a", "m"]), "id long, tag int, h long, a int, m long")
     lists = candidates.groupBy("id", "tag").agg((F.collect_set if later else F.collect_list)(F.struct("h", "a", "m")).alias("runs"))
     cut = rows.join(lists, ["id", "tag"]).select("id", "tag", "text", "runs").mapInArrow(_cut(units, later), _PIECE_SCHEMA)
@@ -280,7 +291,14 @@ def spans(rows: DataFrame, units: Units, later: bool) -> DataFrame:
     wide = wide.mapInArrow(_neighbours(["d", "e"], not later, ["id", "tag", "a", "n"]), "id long, tag int, a int, n int")
     plain = found.mapInArrow(_settled, "id long, tag int, a int, n int").select("id", "tag", F.struct("a", "n").alias("x"))
     both = plain.unionByName(wide.select("id", "tag", F.struct("a", "n").alias("x")))
-    return both.groupBy("id", "tag").agg(F.collect_list("x").alias("found"))
+    return marked.join(both.groupBy("id", "tag").agg(F.collect_list("x").alias("found")), ["id", "tag"], "left")
+
+
+def removed(found: list | None, copy: bool | None, n: int, window: int, later: bool) -> list[tuple[int, int]]:
+    """Sorted disjoint spans of a document's n units that go. A whole text that occurs twice needs no search: its windows all do."""
+    if copy is not None and (copy or not later):
+        return [(0, n)] if n >= window else []
+    return covered(found, window)
 
 
 def covered(found: list | None, window: int) -> list[tuple[int, int]]:

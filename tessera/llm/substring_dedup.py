@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import NULL_ID, SPACE, map_texts, mix, rolled, span_hashes, texts_of, word_spans
-from tessera.llm.repeats import covered, keyed, second, spans
+from tessera.llm.repeats import keyed, removed, second, spans
 
 
 def classes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -116,23 +116,22 @@ class Words:
 
 def measure_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
     """Per row: doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space), spans (of words removed), and where asked kept_text."""
-    rows = keyed(docs, id_col, text_col)
-    joined = rows.join(spans(rows, Words(window), True), ["id", "tag"], "left").select("id", "text", "found")
+    joined = spans(keyed(docs, id_col, text_col), Words(window), True).select("id", "text", "found", "copy")
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
         raw, at = texts_of(part.column(1))
         out = []
-        for d, f in enumerate(part.column(2).to_pylist()):
+        for d, (f, copy) in enumerate(zip(part.column(2).to_pylist(), part.column(3).to_pylist())):
             words = raw[at[d] : at[d + 1]].tobytes().split()
-            cut, kept, last = covered(f, window), [], 0
+            cut, kept, last = removed(f, copy, len(words), window, True), [], 0
             for a, b in cut:
                 kept += words[last:a]
                 last = b
             kept = b" ".join(kept + words[last:])
             out.append((len(words), sum(b - a for a, b in cut), hashlib.sha256(kept).hexdigest(), [{"start": a, "end": b} for a, b in cut], kept.decode() if keep_text else None))
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        n_words, removed, digest, cuts, texts = zip(*out)
-        return pa.RecordBatch.from_arrays([part.column(0), pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest), pa.array(cuts, kind), pa.array(texts, pa.string())], ["id", "n_words", "n_removed", "kept_sha256", "spans", "kept_text"])
+        n_words, gone, digest, cuts, texts = zip(*out)
+        return pa.RecordBatch.from_arrays([part.column(0), pa.array(n_words, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest), pa.array(cuts, kind), pa.array(texts, pa.string())], ["id", "n_words", "n_removed", "kept_sha256", "spans", "kept_text"])
 
     out = map_texts(joined, work, "id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:long,end:long>>, kept_text string")
     out = out.select(F.when(F.col("id") != NULL_ID, F.col("id")).alias(id_col), "n_words", "n_removed", "kept_sha256", "spans", "kept_text")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import BYTE_VALUES, NULL_ID, map_texts, mix, rolled, texts_of
-from tessera.llm.repeats import covered, key_minima, keyed, second, spans
+from tessera.llm.repeats import key_minima, keyed, removed, second, spans
 
 #: Suffixes put in order at a time.
 SORTED = 60_000
@@ -137,29 +137,27 @@ class Bytes:
         return [(int(row[g[0]]), int(step[g[0]]), int(step[g[-1]]) + 1) for g in np.split(at, cut)]
 
 
-def byte_spans(docs: DataFrame, window: int = 200, keep: str = "none", id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """keyed rows, and for those with any the array `found` of removable windows."""
+def byte_spans(docs: DataFrame, window: int, keep: str, id_col: str, text_col: str) -> DataFrame:
+    """keyed rows with what spans() finds in them."""
     if keep not in ("none", "first"):
         raise ValueError("keep is 'none' or 'first'")
-    rows = keyed(docs, id_col, text_col)
-    return rows, spans(rows, Bytes(window), keep == "first")
+    return spans(keyed(docs, id_col, text_col), Bytes(window), keep == "first")
 
 
 def measure_repeats(docs: DataFrame, window: int = 200, keep: str = "none", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (array of start and end, in bytes)."""
-    rows, found = byte_spans(docs, window, keep, id_col, text_col)
-    joined = rows.join(found, ["id", "tag"], "left").select("id", "text", "found")
+    joined = byte_spans(docs, window, keep, id_col, text_col).select("id", "text", "found", "copy")
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
         raw, at = texts_of(part.column(1))
         out = []
-        for d, f in enumerate(part.column(2).to_pylist()):
+        for d, (f, copy) in enumerate(zip(part.column(2).to_pylist(), part.column(3).to_pylist())):
             text = raw[at[d] : at[d + 1]].tobytes()
-            cut = covered(f, window)
+            cut = removed(f, copy, len(text), window, keep == "first")
             out.append((len(text), sum(b - a for a, b in cut), len(cut), hashlib.sha256(without(text, cut)).hexdigest(), [{"start": a, "end": b} for a, b in cut]))
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        n_bytes, removed, n_spans, digest, cuts = zip(*out)
-        return pa.RecordBatch.from_arrays([part.column(0), pa.array(n_bytes, pa.int64()), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(digest), pa.array(cuts, kind)], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
+        n_bytes, gone, n_spans, digest, cuts = zip(*out)
+        return pa.RecordBatch.from_arrays([part.column(0), pa.array(n_bytes, pa.int64()), pa.array(gone, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(digest), pa.array(cuts, kind)], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
     out = map_texts(joined, work, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>")
     return out.select(F.when(F.col("id") != NULL_ID, F.col("id")).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")
@@ -180,19 +178,19 @@ def remove_repeats(docs: DataFrame, window: int = 200, keep: str = "first", id_c
     length_col, if given, is set to the new length in characters. A null text stays null.
     """
     own = docs.columns
-    _, found = byte_spans(docs, window, keep, id_col, text_col)
-    found = found.select(F.col("id").alias("__id"), F.col("tag").alias("__tag"), F.col("found").alias("__found"))
+    found = byte_spans(docs, window, keep, id_col, text_col).where("found is not null or copy is not null").dropDuplicates(["id", "tag"])
+    found = found.select(F.col("id").alias("__id"), F.col("tag").alias("__tag"), F.col("found").alias("__found"), F.col("copy").alias("__copy"))
     marked = docs.withColumns({"__id": F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)), "__tag": F.hash(text_col)})
-    joined = marked.join(found, ["__id", "__tag"], "left").select(*own, "__found")
+    joined = marked.join(found, ["__id", "__tag"], "left").select(*own, "__found", "__copy")
     where, length = own.index(text_col), None if length_col is None else own.index(length_col)
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
         texts = part.column(where).to_pylist()
-        for d, f in enumerate(part.column(len(own)).to_pylist()):
-            if f:
+        for d, (f, copy) in enumerate(zip(part.column(len(own)).to_pylist(), part.column(len(own) + 1).to_pylist())):
+            if texts[d] is not None and (f or copy is not None):
                 raw = texts[d].encode()
                 whole = []
-                for a, b in covered(f, window):
+                for a, b in removed(f, copy, len(raw), window, keep == "first"):
                     while a < b and raw[a] & 0xC0 == 0x80:
                         a += 1
                     while b > a and b < len(raw) and raw[b] & 0xC0 == 0x80:
