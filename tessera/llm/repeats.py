@@ -11,7 +11,7 @@ and consecutive windows mostly share theirs: a run of windows with one key is on
  C  joined with their texts, candidates become pieces: the bytes of a run's windows;
     equal pieces within a task are resolved there, but for one of them;
  D  pieces are dealt by key, and a kernel finds the equal windows among those of a key;
-    a key with more than GROUP_ROWS pieces is streamed on instead, each of its windows
+    a key with more than group_rows pieces is streamed on instead, each of its windows
     dealt by a 128-bit digest (X), so that no task holds an unbounded group;
  E  the windows found are joined to their documents, as spans of units.
 
@@ -22,6 +22,7 @@ others.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from typing import Protocol
 
 import numpy as np
@@ -31,11 +32,17 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import NULL_ID, mix, pieces, texts_of
 
-#: Pieces of one key that a kernel takes at most; bytes and windows of pieces that it takes at a time.
-GROUP_ROWS, BLOCK_BYTES = 50_000, 1 << 20
 
-#: Runs, and bytes of pieces, that a task holds to find repeats among them.
-HELD_RUNS, HELD_BYTES = 600_000, 24 << 20
+@dataclass(frozen=True)
+class Limits:
+    """What one task holds at a time. group_rows: pieces of one key that a kernel takes at most; block_bytes: pieces of
+    several keys that it takes at once; held_runs, held_bytes: runs, and bytes of pieces, that a task looks for repeats among."""
+
+    group_rows: int = 50_000
+    block_bytes: int = 1 << 20
+    held_runs: int = 600_000
+    held_bytes: int = 24 << 20
+
 
 #: m holds a run's number of windows, the anchor's offset (11 bits) and whether it is a candidate already (1 bit).
 _RUN_SCHEMA = "h long, s int, id long, tag int, a int, m long"
@@ -74,7 +81,7 @@ def _batch(columns: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
 
-def _runs(units: Units):
+def _runs(units: Units, limits: Limits):
     def flush(held: list) -> pa.RecordBatch | None:
         if not held:
             return None
@@ -94,7 +101,7 @@ def _runs(units: Units):
                 key, doc, a, n, off, within = units.runs(*texts_of(part.column(2)))
                 held.append((key.view(np.int64), np.asarray(part.column(0))[doc], np.asarray(part.column(1))[doc], a, n, off, within))
                 rows += len(key)
-                if rows > HELD_RUNS:
+                if rows > limits.held_runs:
                     yield flush(held)
                     held, rows = [], 0
         if rows:
@@ -135,7 +142,7 @@ def _neighbours(columns: list[str], both: bool, out: list[str]):
 _PIECE_SCHEMA = "h long, s int, id long, tag int, a int, m long, piece binary"
 
 
-def _cut(units: Units, later: bool):
+def _cut(units: Units, later: bool, limits: Limits):
     def flush(rows: list, groups: dict) -> pa.RecordBatch:
         known, send, s, spread = [False] * len(rows), [True] * len(rows), [0] * len(rows), 0
         for same in groups.values():
@@ -177,7 +184,7 @@ def _cut(units: Units, later: bool):
                         groups.setdefault((h, off, piece), []).append(len(rows))
                         rows.append((h, id_, tag, a, n, off, piece))
                         size += len(piece)
-                    if size > HELD_BYTES:
+                    if size > limits.held_bytes:
                         yield flush(rows, groups)
                         rows, groups, size = [], {}, 0
         if rows:
@@ -194,7 +201,7 @@ def _found(id_, tag, a, n, off=None, piece=None) -> pa.RecordBatch:
     return _batch({"id": pa.array(id_, pa.int64()), "tag": pa.array(tag, pa.int32()), "a": pa.array(a, pa.int32()), "n": pa.array(n, pa.int32()), "off": pa.array(off or nulls, pa.int32()), "piece": pa.array(piece or nulls, pa.binary())})
 
 
-def _compare(units: Units, later: bool):
+def _compare(units: Units, later: bool, limits: Limits):
     """Over pieces sorted by key: the windows found, and the pieces of keys with too many, handed on."""
 
     def judge(rows: list) -> pa.RecordBatch | None:
@@ -234,12 +241,12 @@ def _compare(units: Units, later: bool):
                         block += group
                         size += sum(len(r[6]) for r in group)
                     group, wide, key = [], False, row[0]
-                    if size > BLOCK_BYTES:
+                    if size > limits.block_bytes:
                         if (out := judge(block)) is not None:
                             yield out
                         block, size = [], 0
                 group.append(row)
-                if len(group) > GROUP_ROWS or wide and len(group) >= 1000:
+                if len(group) > limits.group_rows or wide and len(group) >= 1000:
                     yield hand_on(group)
                     group, wide = [], True
         if wide and group:
@@ -277,15 +284,15 @@ def _copies(rows: DataFrame) -> DataFrame:
     return keys.join(firsts, text).groupBy("id", "tag").agg(F.max(F.col("id") != F.col("first")).alias("copy"))
 
 
-def spans(rows: DataFrame, units: Units, later: bool) -> DataFrame:
+def spans(rows: DataFrame, units: Units, later: bool, limits: Limits = Limits()) -> DataFrame:
     """rows: keyed(). rows with copy (as in _copies(), null for texts that occur once) and found, an array of (a, n):
     windows a..a+n-1 stand elsewhere too (later: in an earlier place). Whole copies have no windows listed; see removed()."""
     marked = rows.join(_copies(rows), ["id", "tag"], "left")
-    runs = marked.where("copy is null or not copy").select("id", "tag", "text").mapInArrow(_runs(units), _RUN_SCHEMA).repartition("h", "s").sortWithinPartitions("h", "s")
+    runs = marked.where("copy is null or not copy").select("id", "tag", "text").mapInArrow(_runs(units, limits), _RUN_SCHEMA).repartition("h", "s").sortWithinPartitions("h", "s")
     candidates = runs.mapInArrow(_neighbours(["h", "s"], True, ["id", "tag", "h", "a", "m"]), "id long, tag int, h long, a int, m long")
     lists = candidates.groupBy("id", "tag").agg((F.collect_set if later else F.collect_list)(F.struct("h", "a", "m")).alias("runs"))
-    cut = rows.join(lists, ["id", "tag"]).select("id", "tag", "text", "runs").mapInArrow(_cut(units, later), _PIECE_SCHEMA)
-    found = cut.repartition("h", "s").sortWithinPartitions("h", "s").mapInArrow(_compare(units, later), _FOUND_SCHEMA).repartition("id", "tag")
+    cut = rows.join(lists, ["id", "tag"]).select("id", "tag", "text", "runs").mapInArrow(_cut(units, later, limits), _PIECE_SCHEMA)
+    found = cut.repartition("h", "s").sortWithinPartitions("h", "s").mapInArrow(_compare(units, later, limits), _FOUND_SCHEMA).repartition("id", "tag")
     # both uses read one exchange; the pieces in it are those of too frequent keys
     wide = found.mapInArrow(_digested(units), "d long, e long, id long, tag int, a int, n int").repartition("d", "e").sortWithinPartitions("d", "e", "id", "tag", "a")
     wide = wide.mapInArrow(_neighbours(["d", "e"], not later, ["id", "tag", "a", "n"]), "id long, tag int, a int, n int")

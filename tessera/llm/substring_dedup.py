@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import NULL_ID, SPACE, map_texts, mix, rolled, span_hashes, texts_of, word_spans
-from tessera.llm.repeats import keyed, removed, second, spans
+from tessera.llm.repeats import Limits, keyed, removed, second, spans
 
 
 def classes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -114,9 +114,9 @@ class Words:
         return out
 
 
-def measure_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
+def measure_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, limits: Limits = Limits()) -> DataFrame:
     """Per row: doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space), spans (of words removed), and where asked kept_text."""
-    joined = spans(keyed(docs, id_col, text_col), Words(window), True).select("id", "text", "found", "copy")
+    joined = spans(keyed(docs, id_col, text_col), Words(window), True, limits).select("id", "text", "found", "copy")
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
         raw, at = texts_of(part.column(1))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import BYTE_VALUES, NULL_ID, map_texts, mix, rolled, texts_of
-from tessera.llm.repeats import key_minima, keyed, removed, second, spans
+from tessera.llm.repeats import Limits, key_minima, keyed, removed, second, spans
 
 #: Suffixes put in order at a time.
 SORTED = 60_000
@@ -137,16 +137,16 @@ class Bytes:
         return [(int(row[g[0]]), int(step[g[0]]), int(step[g[-1]]) + 1) for g in np.split(at, cut)]
 
 
-def byte_spans(docs: DataFrame, window: int, keep: str, id_col: str, text_col: str) -> DataFrame:
+def byte_spans(docs: DataFrame, window: int, keep: str, id_col: str, text_col: str, limits: Limits) -> DataFrame:
     """keyed rows with what spans() finds in them."""
     if keep not in ("none", "first"):
         raise ValueError("keep is 'none' or 'first'")
-    return spans(keyed(docs, id_col, text_col), Bytes(window), keep == "first")
+    return spans(keyed(docs, id_col, text_col), Bytes(window), keep == "first", limits)
 
 
-def measure_repeats(docs: DataFrame, window: int = 200, keep: str = "none", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def measure_repeats(docs: DataFrame, window: int = 200, keep: str = "none", id_col: str = "doc_id", text_col: str = "text", limits: Limits = Limits()) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (array of start and end, in bytes)."""
-    joined = byte_spans(docs, window, keep, id_col, text_col).select("id", "text", "found", "copy")
+    joined = byte_spans(docs, window, keep, id_col, text_col, limits).select("id", "text", "found", "copy")
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
         raw, at = texts_of(part.column(1))
@@ -171,14 +171,14 @@ def without(text: bytes, cut: list[tuple[int, int]]) -> bytes:
     return b"".join([*parts, text[last:]])
 
 
-def remove_repeats(docs: DataFrame, window: int = 200, keep: str = "first", id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 200, keep: str = "first", id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None, limits: Limits = Limits()) -> DataFrame:
     """docs, its columns as they are, with the repeats cut out of the text.
 
     A span that begins or ends within a character is drawn in to whole ones, so the text stays valid UTF-8.
     length_col, if given, is set to the new length in characters. A null text stays null.
     """
     own = docs.columns
-    found = byte_spans(docs, window, keep, id_col, text_col).where("found is not null or copy is not null").dropDuplicates(["id", "tag"])
+    found = byte_spans(docs, window, keep, id_col, text_col, limits).where("found is not null or copy is not null").dropDuplicates(["id", "tag"])
     found = found.select(F.col("id").alias("__id"), F.col("tag").alias("__tag"), F.col("found").alias("__found"), F.col("copy").alias("__copy"))
     marked = docs.withColumns({"__id": F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)), "__tag": F.hash(text_col)})
     joined = marked.join(found, ["__id", "__tag"], "left").select(*own, "__found", "__copy")
