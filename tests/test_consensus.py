@@ -267,7 +267,7 @@ def test_whole_run(spark, genome, tmp_path):
     folder, truth, draft = genome
     files = lambda overlaps: (f"{folder}/reads.fastq", f"{folder}/{overlaps}", f"{folder}/draft.fasta")
     polished = polish_files(spark, *files("o.paf")).collect()
-    assert len(polished) == 1 and polished[0].name.startswith(f"draft LN:i:{len(polished[0].data)} RC:i:") and polished[0].name.endswith("XC:f:1.000000")
+    assert len(polished) == 1 and polished[0].name.startswith(f"draft LN:i:{len(polished[0].data)} RC:i:") and polished[0].xc > 0.8  # a last tile of a few bases has no layers
     assert distance(polished[0].data, truth) < distance(draft, truth) / 4
     assert polish_files(spark, *files("o.mhap")).collect() == polished
     config = PolishConfig(include_unpolished=True)
