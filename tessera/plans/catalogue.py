@@ -17,6 +17,7 @@ from tessera.operators.resolve import shared_identity
 from tessera.operators.select import best_per_run, fragment_filter, with_islands
 from tessera.plans import fixtures as X
 from tessera.plans import polish as P
+from tessera.session import settled
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -246,13 +247,13 @@ def align_paths(spark, sf_dir):
     """Each document's letters without every 37th, aligned to all of them: the path's spans."""
     own = _documents(spark, sf_dir).where(F.length("data") > 0)
     less = F.array_join(F.filter(F.transform(F.split("data", ""), lambda c, i: F.when((i + 1) % 37 != 0, c)), lambda c: c.isNotNull()), "")
-    pairs = own.withColumn("query", less).repartition("doc_id").withColumn("cigar", align_cigar("query", "data"))
+    pairs = P.spread(own.withColumn("query", less), "doc_id").withColumn("cigar", align_cigar("query", "data"))
     return pairs.select(F.col("doc_id").alias("ordinal"), S.target_span(F.col("cigar")).alias("t_aligned"), S.query_span(F.col("cigar")).alias("q_aligned"))
 
 
 def _run(spark, sf_dir):
-    targets = X.drafts(spark, sf_dir)
-    reads = X.noisy_reads(targets)
+    targets = settled(X.drafts(spark, sf_dir))  # read several times, as files would be
+    reads = settled(X.noisy_reads(targets))
     return reads, X.whole_overlaps(reads), targets
 
 
@@ -272,7 +273,7 @@ def polish_contigs(spark, sf_dir):
 
 @query()
 def correct_fragments(spark, sf_dir):
-    reads = X.noisy_reads(X.drafts(spark, sf_dir), 4)
+    reads = settled(X.noisy_reads(X.drafts(spark, sf_dir), 4))
     pairs = reads.select("target", F.col("name").alias("t_name"), F.col("back").alias("t_back")).join(reads, "target").where("name <> t_name")
     overlaps = X.whole_overlaps(pairs.withColumns({"target": F.col("t_name"), "back": F.col("back") != F.col("t_back")}))
     overlaps = with_ordinal(overlaps.drop("ordinal"), ["q_name", "t_name"])

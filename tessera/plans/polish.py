@@ -33,6 +33,11 @@ def chosen_overlaps(reads: DataFrame, overlaps: DataFrame, targets: DataFrame, c
     return best_per_run(with_ordinal(known.withColumnRenamed("ordinal", "line"), ["line"]), config.error_threshold)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt to as many tasks as shuffles have: its rows are few but costly, so they aren't to be drawn together by size."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def with_cigars(chosen: DataFrame, reads: DataFrame, targets: DataFrame) -> DataFrame:
     """chosen, each with its CIGAR; those without one are aligned, and only they."""
     own = chosen.where("cigar is not null")
@@ -43,7 +48,7 @@ def with_cigars(chosen: DataFrame, reads: DataFrame, targets: DataFrame) -> Data
     begin = F.when(F.col("strand"), F.col("q_length") - F.col("q_end")).otherwise(F.col("q_begin"))
     query = slice_of(oriented(F.col("q"), F.col("strand")), begin, begin + F.col("q_end") - F.col("q_begin"))
     pairs = joined.withColumns({"q": query, "t": slice_of(F.col("t"), F.col("t_begin"), F.col("t_end"))})
-    aligned = pairs.repartition("ordinal").withColumn("cigar", align_cigar("q", "t")).select(*chosen.columns)
+    aligned = spread(pairs, "ordinal").withColumn("cigar", align_cigar("q", "t")).select(*chosen.columns)
     return own.select(*chosen.columns).unionByName(aligned)
 
 
@@ -62,11 +67,12 @@ def build_windows(reads: DataFrame, chosen: DataFrame, targets: DataFrame, confi
 
 
 def polished_windows(windows: DataFrame, config: PolishConfig, trim: bool) -> DataFrame:
-    """t_id, rank, consensus, polished. Windows of fewer than two layers keep their backbone and never reach Python."""
-    few = windows.where(F.size("layers") < 2).select("t_id", "rank", F.col("backbone").alias("consensus"), F.lit(False).alias("polished"))
+    """t_id, rank, consensus, polished. Windows of fewer than two layers keep their backbone.
+
+    All go the same way: a branch for those few would compute the joins before it once more.
+    """
     match, mismatch, gap = config.match, config.mismatch, config.gap
-    many = windows.where(F.size("layers") >= 2).mapInPandas(lambda batches: consensus_of(batches, match, mismatch, gap, trim), "t_id string, rank long, consensus string, polished boolean")
-    return few.unionByName(many)
+    return spread(windows, "t_id", "rank").mapInPandas(lambda batches: consensus_of(batches, match, mismatch, gap, trim), "t_id string, rank long, consensus string, polished boolean")
 
 
 def finished(consensus: DataFrame, chosen: DataFrame, targets: DataFrame, config: PolishConfig) -> DataFrame:
