@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 #: Bytes of text handled by one vectorised step; bounds a worker's memory.
 CHUNK_BYTES = 2 << 20
 
+#: Texts handled by one vectorised step: arrays of texts by features stay small where texts are short or empty.
+CHUNK_ROWS = 2048
+
 #: Stands for a null document id where ids are keys; smaller than any other id.
 NULL_ID = -(2**63)
 
@@ -82,15 +85,15 @@ def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def pieces(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batch in slices of about limit bytes of text at most, or one text where that alone is longer."""
+def pieces(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES, rows: int = CHUNK_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most `rows` texts and about limit bytes of text, or one text where that alone is longer."""
     n = batch.num_rows
     if not n:
         return
     _, at = texts_of(batch.column(batch.schema.get_field_index(column)))
     i = 0
     while i < n:
-        j = max(i + 1, int(np.searchsorted(at, at[i] + limit, "right")) - 1)
+        j = min(i + rows, max(i + 1, int(np.searchsorted(at, at[i] + limit, "right")) - 1))
         yield batch.slice(i, j - i)
         i = j
 

@@ -61,12 +61,9 @@ def fingerprints(column: pa.Array, shingle: int = 4, seed: int = 42) -> np.ndarr
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(text[s:e], seed) for s, e in zip(new_start[heads].tolist(), new_end[tails].tolist())), np.uint64, len(heads))
     # eight bit counts in one integer: rows in groups of at most 255, so that no count runs over
-    steps = np.arange(0, int(shingles.max()), 255)
-    cuts = (first[:-1][:, None] + steps[None, :])
-    cuts = cuts[steps[None, :] < shingles[:, None]]
-    if not len(cuts):
-        return out
-    owner = np.repeat(np.arange(len(n)), -(-shingles // 255))
+    groups = -(-shingles // 255)
+    owner = np.repeat(np.arange(len(n)), groups)
+    cuts = first[owner] + 255 * (np.arange(len(owner)) - np.repeat(np.cumsum(groups) - groups, groups))
     for k in range(8):
         lanes = np.add.reduceat((hashes >> np.uint64(k)) & ONES, cuts)
         for j in range(8):

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessera.llm import bpe, decontam, lm, queries, repeats, rules, simhash, substring_dedup, suffix_dedup, textstats, wordpiece
-from tessera.llm.common import fold, stored
+from tessera.llm.common import fold, pieces, stored
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -65,6 +65,24 @@ def test_simhash(spark, texts):
     assert got == {i: (f"{prints[i]:016x}", roots[i]) for i in texts}
 
 
+def test_fingerprints_of_uneven_texts():
+    """A text of many groups of shingles beside empty and short ones."""
+    rng = random.Random(8)
+    long = " ".join(f"w{rng.randrange(50)}" for _ in range(2000))
+    texts = ["", None, "one two", long, " \t ", long[:900], "", long + " end"]
+    got = simhash.fingerprints(pa.array(texts, pa.string()))
+    assert [int(x) for x in got] == [_fingerprint(t or "") for t in texts]
+
+
+def test_pieces():
+    """Slices are bounded in texts and in bytes, and together they are the batch."""
+    texts = ["x" * n for n in (0, 3, 40, 5, 5, 5, 0, 0, 0, 0)] + [None] * 5
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
+    parts = [p.column(0).to_pylist() for p in pieces(batch, "text", limit=10, rows=4)]
+    assert sum(parts, []) == texts
+    assert all(0 < len(p) <= 4 and (sum(len(t or "") for t in p) <= 10 or len(p) == 1) for p in parts)
+
+
 @pytest.mark.parametrize("max_tree", [8192, 7])
 def test_links_of_many(spark, max_tree):
     """Clusters with chains of links, in shards of one tree and of several, against all pairs."""
