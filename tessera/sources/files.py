@@ -16,9 +16,9 @@ def _has(path: str, suffixes: tuple[str, ...]) -> bool:
 
 
 def _numbered(spark: SparkSession, path: str, separator: str | None = None) -> DataFrame:
-    """value and line, the number of the line in the file; blocks of a file are counted first, so it stays splittable."""
+    """value and line, the number of the line in the file, or in all files in the order of their names; blocks are counted first, so files stay splittable."""
     reader = spark.read.option("lineSep", separator) if separator else spark.read
-    rows = reader.text(path).select("value", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    rows = reader.text(path).select("value", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")).alias("block"), F.monotonically_increasing_id().alias("id"))
     counts = rows.groupBy("block").count()
     before = counts.withColumn("before", F.coalesce(F.sum("count").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("block", "before")
     own = F.row_number().over(Window.partitionBy("block").orderBy("id")) - 1
@@ -38,15 +38,17 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
 def read_fastq(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
     """ordinal, name, data (upper case), quality (null if all of it is '!').
 
-    Records are four lines each, gathered by number; with multiline each file is parsed in order by one task.
+    Records are four lines each, gathered by number; with multiline all is parsed in order by one task. Empty lines at
+    the very end do not count, elsewhere they are an error; a record may have empty data and quality.
     """
     lines = _numbered(spark, path)
     if multiline:
         parsed = lines.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(_parse_fastq, "ordinal long, name string, data string, quality string")
     else:
-        lines = lines.where(F.col("value") != "").withColumns({"ordinal": F.expr("line div 4"), "k": F.col("line") % 4})
+        lines = lines.withColumns({"ordinal": F.expr("line div 4"), "k": F.col("line") % 4})
         part = lambda k: F.max(F.when(F.col("k") == k, F.regexp_replace("value", "\r$", "")))
         records = lines.groupBy("ordinal").agg(part(0).alias("head"), part(1).alias("data"), part(2).alias("plus"), part(3).alias("quality"))
+        records = records.where(F.concat_ws("", "head", "data", "plus", "quality") != "")
         wrong = ~F.col("head").startswith("@") | ~F.col("plus").startswith("+") | (F.length("data") != F.length("quality"))
         head = F.when(F.coalesce(wrong, F.lit(True)), F.raise_error(F.concat(F.lit("not a record of four lines: "), F.coalesce("head", F.lit("?"))))).otherwise(F.col("head"))
         parsed = records.select("ordinal", F.regexp_extract(head, r"^@(\S*)", 1).alias("name"), "data", "quality")
@@ -144,5 +146,7 @@ def write_fasta(polished: DataFrame, path: str) -> None:
 
 
 def write_fastq(reads: DataFrame, path: str) -> None:
-    reads.orderBy("ordinal").select(F.concat(F.lit("@"), "name", F.lit("\n"), "data", F.lit("\n+\n"), "quality").alias("value")).write.text(path)
+    """Records of four lines, in order; where quality is null, it is written as '!' throughout, which reads back as null."""
+    quality = F.coalesce("quality", F.expr("repeat('!', length(data))"))
+    reads.orderBy("ordinal").select(F.concat(F.lit("@"), "name", F.lit("\n"), "data", F.lit("\n+\n"), quality).alias("value")).write.text(path)
 

@@ -17,7 +17,7 @@ from tessera.operators.prepare import rename_pairs, split_targets, subsample
 from tessera.operators.resolve import resolve, shared_identity
 from tessera.operators.select import best_per_run, with_islands
 from tessera.plans.polish import polish, polish_files, polish_in_chunks
-from tessera.sources.files import fasta_lines, read_fastq, read_overlaps, read_sequences, write_fasta
+from tessera.sources.files import fasta_lines, read_fastq, read_overlaps, read_sequences, write_fasta, write_fastq
 
 
 def one(spark, *columns):
@@ -231,6 +231,18 @@ def test_files(spark, tmp_path):
             read(spark, name)
 
 
+def test_fastq_round_trip(spark, tmp_path):
+    """Over several files: records are numbered through, and empty reads and unknown qualities come back as they were."""
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "1.fastq").write_text("@a\nACGT\n+\nIIII\n@b\n\n+\n\n@c\nAC\n+\n!!\n")
+    (tmp_path / "in" / "2.fastq").write_text("@d\nGG\n+\n5!\n\n\n")
+    expected = [(0, "a", "ACGT", "IIII"), (1, "b", "", None), (2, "c", "AC", None), (3, "d", "GG", "5!")]
+    reads = read_fastq(spark, f"{tmp_path}/in")
+    assert [tuple(r) for r in reads.orderBy("ordinal").collect()] == expected
+    write_fastq(reads, f"{tmp_path}/out")
+    assert [tuple(r) for r in read_fastq(spark, f"{tmp_path}/out").orderBy("ordinal").collect()] == expected
+
+
 def test_settings():
     with pytest.raises(ValueError):
         PolishConfig(window_length=0)
