@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, decontam, rules, simhash, suffix_dedup
+from tessera.llm import bpe, decontam, jaccard, rules, suffix_dedup
 from tessera.llm.common import make_importable, stored
 
 
@@ -19,9 +19,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that fingerprints link, the document of smallest id stays."""
+    """Of each group linked by a Jaccard similarity of 0.8 or more of five-word shingles, the document of smallest id stays."""
     make_importable(spark)
-    return simhash.keep_first(docs, radius=4, shingle=4)
+    return jaccard.keep_first(docs, similarity=(4, 5), shingle=5)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +50,7 @@ STAGES = [
     ("byte_bpe", byte_bpe),
 ]
 
-#: Forests, fingerprints and byte-pair merges are beyond SQL; the tests hold the stages against brute force.
+#: Forests, similar sets and byte-pair merges are beyond SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -1,0 +1,258 @@
+"""Near-duplicates by Jaccard similarity of word shingles: an exact join by prefixes, and connected components.
+
+Texts of equal shingle sets are made one first, so that copies cost nothing further.
+Two sets whose similarity is at least s = p / q share one of the first n - ceil(s n) + 1
+shingles of each, n the size of the set, in any order that holds for all sets. Each set
+is dealt by those. The order is by hash, with the shingles that are frequent in a
+bounded sample last; the sample has a part in the cost alone, as any order is right.
+
+Sets that share a key are compared by bitmaps of the parities of their hashes: bits
+that differ are at most as many as the shingles that do, so no link is lost. Of the
+pairs that may be links each group hands on a spanning forest, not all; these are
+confirmed by the whole sets. Where some are refused, the next round hands on other
+pairs between the components that are left, until there are none. So the components
+are those of all pairs of the similarity or more, and of no others.
+
+Cases: a text of fewer words than a shingle has one shingle, of all its words; texts
+without words, null ones too, are alike; a null id is smaller than all others; an
+empty table gives an empty result; other columns are kept whatever their names.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tessera.llm.common import LOWER_NP, NULL_ID, SPACE, drop_stored, map_texts, mix, rolled, span_hashes, stored, texts_of, word_spans
+from tessera.llm.simhash import label_components
+
+#: 64-bit words of a bitmap.
+WORDS = 32
+
+#: Texts of the sample that tells frequent shingles, about; how often one occurs in it at least, and how many are kept at most.
+SAMPLED, FREQUENT, MAX_FREQUENT = 4000, 5, 200_000
+
+
+def shingle_sets(column: pa.Array, shingle: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """The different shingles' hashes of each text, ascending, laid end to end, and len + 1 borders."""
+    raw, at = texts_of(column)
+    low = LOWER_NP[raw]
+    starts, ends, border = word_spans(low, at, ~SPACE)
+    texts = len(at) - 1
+    words = span_hashes(low, starts, ends) if len(starts) else np.zeros(0, np.uint64)
+    n = np.diff(border)
+    whole = np.where(n >= shingle, n - shingle + 1, 0)
+    owner = np.repeat(np.arange(texts), whole)
+    heads = np.arange(len(owner)) - np.repeat(np.cumsum(whole) - whole, whole) + border[:-1][owner]
+    hashes, owners = [mix(rolled(words, shingle)[heads])], [owner]
+    for k in range(1, shingle):
+        short = np.flatnonzero(n == k)
+        if len(short):
+            hashes.append(mix(rolled(words, k)[border[:-1][short]] + np.uint64(k)))
+            owners.append(short)
+    value, owner = np.concatenate(hashes), np.concatenate(owners)
+    by = np.lexsort((value, owner))
+    value, owner = value[by], owner[by]
+    new = np.ones(len(value), bool)
+    new[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
+    return value[new], np.searchsorted(owner[new], np.arange(texts + 1))
+
+
+def set_names(value: np.ndarray, border: np.ndarray) -> np.ndarray:
+    """A 64-bit name of each set, equal for equal sets."""
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(value + np.uint64(1)), dtype=np.uint64)])
+    return mix(total[border[1:]] - total[border[:-1]] + np.diff(border).astype(np.uint64)).view(np.int64)
+
+
+def prefix_sizes(n: np.ndarray, p: int, q: int) -> np.ndarray:
+    return np.where(n > 0, n - (p * n + q - 1) // q + 1, 0)
+
+
+def parities(value: np.ndarray, border: np.ndarray) -> np.ndarray:
+    """Bit b of a set's bitmap: whether an odd number of its hashes are b modulo the bitmap's size."""
+    sets, bits = len(border) - 1, 64 * WORDS
+    place = np.repeat(np.arange(sets), np.diff(border)) * bits + (value % np.uint64(bits)).astype(np.int64)
+    odd = (np.bincount(place, minlength=sets * bits) & 1).astype(np.uint8)
+    return np.packbits(odd).reshape(sets, bits // 8)
+
+
+def _lists(value: np.ndarray, border: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(border, pa.int32()), pa.array(value.view(np.int64)))
+
+
+def _runs(column: np.ndarray) -> np.ndarray:
+    """Borders of the runs of equal values."""
+    return np.flatnonzero(np.concatenate([[True], column[1:] != column[:-1], [True]])) if len(column) else np.zeros(1, np.int64)
+
+
+def by_groups(df: DataFrame, work, schema: str, *order: str) -> DataFrame:
+    """work(batch) over whole groups of equal values of the first column, by which df is dealt; rows in the order of `order` in each."""
+
+    def run(batches):
+        held, rows, most = [], 0, 50_000
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= most:
+                table = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                cut = int(_runs(np.asarray(table.column(0)))[-2])
+                if cut:
+                    yield from work(table.slice(0, cut))
+                held, rows = [table.slice(cut)], table.num_rows - cut
+                most = max(50_000, 2 * rows)
+        if rows:
+            yield from work(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+
+    key = df.columns[0]
+    return df.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
+
+
+def forest(name: np.ndarray, n: np.ndarray, bitmap: np.ndarray, root: np.ndarray, refused: list, p: int, q: int) -> list[tuple[int, int]]:
+    """Pairs that may be links, not refused before, and that join all of the group's components that such pairs join; rows in the order of n."""
+    _, cluster = np.unique(root, return_inverse=True)
+    members = np.split(np.argsort(cluster, kind="stable"), np.cumsum(np.bincount(cluster))[:-1])
+    if len(members) == 1:
+        return []
+    left, out = np.arange(len(name)), []  # in the order of n
+    while len(left):
+        todo = list(members[cluster[left[0]]])
+        left = left[cluster[left] != cluster[left[0]]]
+        while todo and len(left):
+            i = todo.pop()
+            a, b = np.searchsorted(n[left], [-(-p * int(n[i]) // q), q * int(n[i]) // p + 1])
+            near = left[a:b]
+            if not len(near):
+                continue
+            differ = np.bitwise_count(bitmap[near] ^ bitmap[i]).sum(1, dtype=np.int64)
+            both = n[near] + n[i]
+            # common shingles are at least p / (p + q) of both sets', so at most (q - p) / (p + q) differ
+            near = near[differ * (p + q) <= (q - p) * both]
+            if refused[i] is not None and len(refused[i]):
+                near = near[~np.isin(name[near], refused[i])]
+            if not len(near):
+                continue
+            _, first = np.unique(cluster[near], return_index=True)
+            for j in near[first].tolist():
+                out.append((int(i), j))
+                todo += list(members[cluster[j]])
+            left = left[~np.isin(cluster[left], cluster[near])]
+    return out
+
+
+def links(docs: DataFrame, sets: DataFrame, pairs: DataFrame, p: int, q: int, shingle: int) -> DataFrame | None:
+    """Edges (a, b) between sets' names, whose components are those of all pairs of similarity p / q or more.
+
+    docs: id, th and text; sets: name, n, first (id and th of a row), bitmap; pairs: key, name and n of what each set is dealt by.
+    """
+
+    def several(batch: pa.RecordBatch):
+        """The groups in which two sets may be alike by their sizes, each named by its members."""
+        key, name, n = (np.asarray(batch.column(i)) for i in range(3))
+        border = _runs(key)
+        close = np.zeros(len(key), bool)
+        close[1:] = (key[1:] == key[:-1]) & (p * n[1:] <= q * n[:-1])
+        stays = close | np.concatenate([close[1:], [False]])
+        group = np.repeat(np.arange(len(border) - 1), np.diff(border))
+        total = np.zeros(len(border) - 1, np.uint64)
+        np.add.at(total, group[stays], mix(name[stays].view(np.uint64) + np.uint64(1)))
+        if stays.any():
+            yield pa.RecordBatch.from_arrays([pa.array(total.view(np.int64)[group[stays]]), pa.array(name[stays]), pa.array(n[stays])], ["g", "name", "n"])
+
+    def tied(batch: pa.RecordBatch):
+        g, name, n, root = (np.asarray(batch.column(i)) for i in range(4))
+        border = _runs(g)
+        out = []
+        for a, b in zip(border[:-1].tolist(), border[1:].tolist()):
+            if b - a < 2 or (root[a:b] == root[a]).all():
+                continue
+            bitmap = np.frombuffer(b"".join(batch.column(4).slice(a, b - a).to_pylist()), np.uint64).reshape(b - a, WORDS)
+            refused = batch.column(5).slice(a, b - a).to_pylist()
+            out += [(int(name[a + i]), int(name[a + j])) for i, j in forest(name[a:b], n[a:b], bitmap, root[a:b], refused, p, q)]
+        if out:
+            x = np.array(out, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(x.max(1)), pa.array(x.min(1))], ["a", "b"])
+
+    def confirm(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ok = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = np.asarray(x.values), np.asarray(y.values)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(q * common >= p * (len(x) + len(y) - common))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
+
+    def whole(part: pa.RecordBatch) -> pa.RecordBatch:
+        value, border = shingle_sets(part.column(1), shingle)
+        return pa.RecordBatch.from_arrays([part.column(0), _lists(value, border)], ["name", "hashes"])
+
+    groups = by_groups(pairs, several, "g long, name long, n long", "n", "name").distinct()
+    groups = stored(groups.join(sets.select("name", "bitmap"), "name").select("g", "name", "n", "bitmap"))
+    done, edges = None, None
+    while True:
+        now = groups
+        if done is None:
+            now = now.withColumns({"root": F.col("name"), "refused": F.array().cast("array<long>")})
+        else:
+            roots = label_components(edges).withColumnRenamed("node", "name")
+            no = done.where("not ok")
+            no = no.select(F.col("a").alias("name"), "b").unionByName(no.select(F.col("b").alias("name"), F.col("a").alias("b")))
+            now = now.join(roots, "name", "left").join(no.groupBy("name").agg(F.collect_set("b").alias("refused")), "name", "left").withColumn("root", F.coalesce("root", "name"))
+        found = by_groups(now.select("g", "name", "n", "root", "bitmap", "refused"), tied, "a long, b long", "n", "name").distinct()
+        found = stored(found)
+        # only sets of a pair are made anew, from one text each
+        involved = found.select(F.col("a").alias("name")).unionByName(found.select(F.col("b").alias("name"))).distinct()
+        involved = sets.select("name", "first.id", "first.th").join(involved, "name", "left_semi")
+        full = stored(map_texts(docs.join(involved, ["id", "th"]).select("name", "text"), whole, "name long, hashes array<long>"))
+        full = full.dropDuplicates(["name"])  # of rows that repeat id and text
+        both = found.join(full.select(F.col("name").alias("a"), F.col("hashes").alias("x")), "a").join(full.select(F.col("name").alias("b"), F.col("hashes").alias("y")), "b")
+        found = stored(both.select("a", "b", "x", "y").mapInArrow(confirm, "a long, b long, ok boolean"))
+        refused = found.where("not ok").count()
+        done = found if done is None else done.unionByName(found)
+        edges = done.where("ok").select("a", "b")
+        if not refused:  # each group's components are joined as far as they can be
+            return edges
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: tuple[int, int] = (4, 5), shingle: int = 5) -> DataFrame:
+    """docs, its columns as they are, with one row of each component: that of its smallest id (any one of rows that repeat it)."""
+    p, q = similarity
+    spark, own = docs.sparkSession, docs.columns
+    slim = docs.select(F.coalesce(F.col(id_col), F.lit(NULL_ID)).cast("long").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+    parts = max(1, docs.count() // SAMPLED)
+
+    def seen(part: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(shingle_sets(part.column(0), shingle)[0].view(np.int64))], ["h"])
+
+    sample = map_texts(slim.where(F.pmod("th", F.lit(parts)) == 0).select("text").limit(4 * SAMPLED), seen, "h long")
+    sample = sample.groupBy("h").count().where(F.col("count") >= FREQUENT).orderBy(F.desc("count"), "h").limit(MAX_FREQUENT).collect()
+    frequent = spark.sparkContext.broadcast(np.sort(np.array([r.h for r in sample], np.int64).view(np.uint64)))
+
+    def work(part: pa.RecordBatch) -> pa.RecordBatch:
+        value, border = shingle_sets(part.column(2), shingle)
+        n = np.diff(border)
+        owner = np.repeat(np.arange(len(n)), n)
+        last = np.isin(value, frequent.value)
+        by = np.lexsort((value, last, owner))
+        taken = prefix_sizes(n, p, q)
+        heads = np.concatenate([[0], np.cumsum(taken)])
+        keys = value[by][np.arange(heads[-1]) - np.repeat(heads[:-1], taken) + np.repeat(border[:-1], taken)]
+        bitmaps = parities(value, border)
+        return pa.RecordBatch.from_arrays(
+            [part.column(0), part.column(1), pa.array(set_names(value, border)), pa.array(n.astype(np.int64)), _lists(keys, heads), pa.array([x.tobytes() for x in bitmaps], pa.binary())],
+            ["id", "th", "name", "n", "keys", "bitmap"],
+        )
+
+    marked = stored(map_texts(slim, work, "id long, th long, name long, n long, keys array<long>, bitmap binary"))
+    sets = stored(marked.groupBy("name").agg(F.min(F.struct("id", "th")).alias("first"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("bitmap").alias("bitmap")))
+    drop_stored(marked)
+    edges = links(slim, sets, sets.select(F.explode("keys").alias("key"), "name", "n"), p, q, shingle)
+    rooted = sets.select("name", "first").join(label_components(edges).withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))
+    best = rooted.groupBy("root").agg(F.min("first").alias("best")).select(F.col("best.id").alias("__id"), F.col("best.th").alias("__th"))
+    kept = docs.withColumn("__id", F.coalesce(F.col(id_col), F.lit(NULL_ID))).withColumn("__th", F.xxhash64(text_col))
+    return kept.join(best, ["__id", "__th"], "left_semi").dropDuplicates(["__id", "__th"]).select(*own)
