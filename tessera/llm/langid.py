@@ -49,14 +49,13 @@ class Presence:
     """Maps texts to presence bits over a fixed set of n-grams, the landmarks' own."""
 
     def __init__(self, low: np.ndarray, orders: int = 3):
-        #: 32 000 at most of an order, for 16-bit numbers; three bytes of letters are far fewer
-        self.codes = [np.unique(gram_codes(low, n))[:32000] if len(low) >= n else np.zeros(0, np.int32) for n in range(1, orders + 1)]
+        self.codes = [np.unique(gram_codes(low, n)) if len(low) >= n else np.zeros(0, np.int32) for n in range(1, orders + 1)]
         self._ready()
 
     def _ready(self) -> None:
         self.tables, self.size = [], 0
         for n, codes in enumerate(self.codes, 1):
-            table = np.full(256**n, -1, np.int16)
+            table = np.full(256**n, -1, np.int32)
             table[codes] = np.arange(len(codes))
             self.tables.append((n, table, self.size))
             self.size += len(codes)
