@@ -4,15 +4,28 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+#: Folders made for sessions that run on this machine alone, by application.
+_OWN: dict[str, str] = {}
 
-def settled(df: DataFrame) -> DataFrame:
-    """df checkpointed: later steps see the same rows in the same partitions, and a lost executor costs nothing.
 
-    The folder is the session's spark.checkpoint.dir; one of its own is set only where that is unset.
-    """
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all machines share: spark.checkpoint.dir. Where that is unset, a folder of this machine's, in local mode only."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if found:
+        return found
+    context = spark.sparkContext
+    if context.master != "local" and not context.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir is not set: steps between shuffles need a folder that all executors share")
+    if context.applicationId not in _OWN:
+        _OWN[context.applicationId] = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
+    return _OWN[context.applicationId]
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df checkpointed in the shared folder: later steps see the same rows in the same partitions, and a lost executor costs nothing."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='tessera-')}")
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
