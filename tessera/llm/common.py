@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
-import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.session import shared_dir
+
 #: Bytes of text handled by one vectorised step; bounds a worker's memory.
 CHUNK_BYTES = 2 << 20
 
@@ -39,32 +41,68 @@ def make_importable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([root, *paths])
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share: spark.checkpoint.dir, or where unset a folder of this session's own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found is None:
-        found = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+def quoted(name: str) -> str:
+    """A column's name as an expression, whatever is in it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    return [F.col(quoted(c)) for c in df.columns]
+
+
+def fresh(taken: Iterable[str], *names: str) -> list[str]:
+    """Names that are not taken, case aside: the given ones, with as many underscores before them as that needs."""
+    used, out = {t.lower() for t in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name = "_" + name
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+#: Tables in the shared folder that are still there, with the session they were written in.
+_LEFT: dict[str, SparkSession] = {}
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """df written to a table in the shared folder and read back: later steps read it instead of computing it anew."""
+    """df written to a table in the shared folder and read back: later steps read it instead of computing it anew.
+
+    drop_stored() deletes it when nothing reads it any more; what a result still reads goes with drop_all_stored(), at the
+    latest when the driver ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
+    _LEFT[path] = spark
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tessera_path = path
     return out
 
 
-def drop_stored(df: DataFrame) -> None:
-    """Deletes what stored() wrote, when nothing reads it any more."""
-    path = getattr(df, "_tessera_path", None)
-    if path:
-        spark = df.sparkSession
+def _delete(path: str) -> None:
+    spark = _LEFT.pop(path, None)
+    if spark is not None:
         hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+        hadoop.getFileSystem(spark._jvm.org.apache.hadoop.conf.Configuration() if spark._jsc.sc().isStopped() else spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def drop_stored(*tables: DataFrame) -> None:
+    """Deletes what stored() wrote."""
+    for df in tables:
+        _delete(getattr(df, "_tessera_path", ""))
+
+
+def drop_all_stored() -> None:
+    """Deletes all that stored() wrote and that is still there; results that are not read yet are lost."""
+    for path in list(_LEFT):
+        try:
+            _delete(path)
+        except Exception:  # noqa: BLE001 - the JVM may be gone at the driver's end
+            _LEFT.pop(path, None)
+
+
+atexit.register(drop_all_stored)
 
 
 def fold(doc_id: Column, n: int) -> Column:

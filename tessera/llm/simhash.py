@@ -60,15 +60,24 @@ def fingerprints(column: pa.Array, shingle: int = 4, seed: int = 42) -> np.ndarr
     tails = heads + np.repeat(np.minimum(n, shingle), shingles) - 1
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(text[s:e], seed) for s, e in zip(new_start[heads].tolist(), new_end[tails].tolist())), np.uint64, len(heads))
-    # eight bit counts in one integer: rows in groups of at most 255, so that no count runs over
-    groups = -(-shingles // 255)
-    owner = np.repeat(np.arange(len(n)), groups)
-    cuts = first[owner] + 255 * (np.arange(len(owner)) - np.repeat(np.cumsum(groups) - groups, groups))
+    return majority(hashes, shingles)
+
+
+def majority(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Of hashes in groups of these sizes, laid end to end: the bits set in over half of each group's; zero for an empty one."""
+    out = np.zeros(len(sizes), np.uint64)
+    first = np.cumsum(sizes) - sizes
+    # eight bit counts in one integer: rows in parts of at most 255, so that no count runs over
+    parts = -(-sizes // 255)
+    owner = np.repeat(np.arange(len(sizes)), parts)
+    cuts = first[owner] + 255 * (np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts))
+    if not len(cuts):
+        return out
     for k in range(8):
         lanes = np.add.reduceat((hashes >> np.uint64(k)) & ONES, cuts)
         for j in range(8):
-            count = np.bincount(owner, ((lanes >> np.uint64(8 * j)) & np.uint64(255)).astype(np.float64), len(n))
-            out |= np.where(2 * count > shingles, np.uint64(1) << np.uint64(8 * j + k), np.uint64(0))
+            count = np.bincount(owner, ((lanes >> np.uint64(8 * j)) & np.uint64(255)).astype(np.float64), len(sizes))
+            out |= np.where(2 * count > sizes, np.uint64(1) << np.uint64(8 * j + k), np.uint64(0))
     return out
 
 
@@ -232,13 +241,29 @@ def _edges(batch: pa.RecordBatch, radius: int):
         yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b).view(np.int64)), pa.array(np.minimum(a, b).view(np.int64))], ["a", "b"])
 
 
-def label_components(edges: DataFrame) -> DataFrame:
-    """edges (a, b): each node that has any, with the least node that it reaches (signed order), as node and root.
+#: Edges of a graph that one task takes whole, at most: 16 bytes each, some ten times that while it works.
+MAX_LOCAL_EDGES = 1 << 20
+
+
+def _label_locally(batches):
+    held = [(np.asarray(x.column(0)), np.asarray(x.column(1))) for x in batches]
+    a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*held)) if held else (np.zeros(0, np.int64),) * 2
+    node, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    out = spanning([(at[: len(a)], at[len(a) :])], len(node))
+    yield pa.RecordBatch.from_arrays([pa.array(node[out[:, 0]]), pa.array(node[out[:, 1]])], ["node", "root"])
+
 
-    Alternating star contraction: each round hangs every node's neighbours on its least one, the greater
-    neighbours first, then the smaller, until all edges lead to roots.
+def label_components(edges: DataFrame, max_local: int = MAX_LOCAL_EDGES) -> DataFrame:
+    """edges (a, b): each node that has any, with the least node that it reaches (signed order), as node and root; roots themselves are left out.
+
+    Up to max_local edges are taken by one task. Beyond, alternating star contraction: each round hangs every node's
+    neighbours on its least one, the greater neighbours first, then the smaller, until all edges lead to roots.
     """
     now = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    if now.limit(max_local + 1).count() <= max_local:
+        out = stored(now.repartition(1).mapInArrow(_label_locally, "node long, root long"))
+        drop_stored(now)
+        return out
     before = None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -254,7 +279,9 @@ def label_components(edges: DataFrame) -> DataFrame:
         if tuple(state) == before:
             break
         before = tuple(state)
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    out = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    out._tessera_path = now._tessera_path
+    return out
 
 
 def _roots(marked: DataFrame, radius: int) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tessera.llm import bpe, decontam, lm, queries, repeats, rules, simhash, substring_dedup, suffix_dedup, textstats, wordpiece
 from tessera.llm.common import fold, pieces, stored
+from tests.llm.oracle import firsts, lower as _lower
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -26,10 +27,6 @@ def texts(spark):
     return {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
 
 
-def _lower(text):
-    return text.translate({i: i + 32 for i in range(65, 91)})
-
-
 def _fingerprint(text, k=4):
     words = re.findall(r"[^\x20\x09-\x0D]+", _lower(text))
     shingles = [" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))] if words else []
@@ -369,8 +366,7 @@ def test_pipeline(spark, texts):
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in rules.judge(docs, labels).where("kept").collect()}
 
     first = stored(stages["near_duplicates"](spark, kept, SMALL))
-    roots = _components({r.doc_id: _fingerprint(r.text) for r in kept.collect()})
-    assert sorted(r.doc_id for r in first.collect()) == sorted(set(roots.values()))
+    assert sorted(r.doc_id for r in first.collect()) == firsts({r.doc_id: r.text for r in kept.collect()})
 
     clean = stored(stages["repeated_passages"](spark, first, SMALL))
     own = {r.doc_id: r.text for r in first.collect()}

@@ -4,36 +4,15 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 import corpus_pipeline
-from tessera.llm import jaccard
-from tests.llm.test_brute import _lower
+from tessera.llm import similar
+from tests.llm.oracle import firsts, shingles
 
 SMALL = "/root/testdata/sf0.001"
 
 
-def _set(text, shingle=5):
-    words = _lower(text or "").encode().split()
-    return {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))} if words else set()
-
-
-def _firsts(texts):
-    """Of each component of the pairs with a similarity of 0.8 or more, the smallest id."""
-    root, sets = {i: i for i in texts}, {i: _set(t) for i, t in texts.items()}
-
-    def top(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for i in texts:
-        for j in texts:
-            if i < j and (sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])):
-                a, b = sorted((top(i), top(j)))
-                root[b] = a
-    return sorted(i for i in texts if root[i] == i)
-
-
 def _copies(seed, n=40):
     """Texts with copies edited in more and more places, around the similarity that decides; some in one common passage."""
     rng = random.Random(seed)
@@ -51,11 +30,11 @@ def _copies(seed, n=40):
 
 
 def test_components(spark):
-    for seed in (1, 2):
+    for seed in (1,):
         texts = _copies(seed)
         docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-        got = sorted(r.doc_id for r in jaccard.keep_first(docs).collect())
-        assert got == _firsts(texts) and len(got) < len(texts) - 20
+        got = sorted(r.doc_id for r in similar.keep_first(docs).collect())
+        assert got == firsts(texts) and len(got) < len(texts) - 20
 
 
 def test_stage_takes_near_copies(spark):
@@ -68,12 +47,13 @@ def test_stage_takes_near_copies(spark):
             words[i] = "x"
         texts[2 * k + 1] = " ".join(words)
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    assert _firsts(texts) == list(range(0, 60, 2))
+    assert firsts(texts) == list(range(0, 60, 2))
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SMALL).collect()) == list(range(0, 60, 2))
 
 
-def test_large_group(spark):
-    """A chain in which each is similar to the next alone, and a star of near copies."""
+@pytest.mark.parametrize("max_shard", [2048, 6])
+def test_large_group(spark, max_shard):
+    """A chain in which each is similar to the next alone, and a star of near copies; whole shards and split ones."""
     rng = random.Random(6)
     words = [f"w{i}" for i in range(100)]
     texts = {}
@@ -87,19 +67,38 @@ def test_large_group(spark):
             edited[rng.randrange(200)] = f"e{rng.randrange(10**6)}"
         texts[i] = " ".join(edited)
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    assert sorted(r.doc_id for r in jaccard.keep_first(docs).collect()) == _firsts(texts)
+    assert sorted(r.doc_id for r in similar.keep_first(docs, max_shard=max_shard).collect()) == firsts(texts)
 
 
 def test_real_texts(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
-    assert sorted(r.doc_id for r in jaccard.keep_first(docs).collect()) == _firsts(texts)
+    assert sorted(r.doc_id for r in similar.keep_first(docs).collect()) == firsts(texts)
 
 
 def test_sets():
     texts = ["", "a b", "A  b", "a b c d e f", "a b c d e a b c d e a b c d e", None, "b a"]
-    value, border = jaccard.shingle_sets(pa.array(texts))
-    assert np.diff(border).tolist() == [len(_set(t)) for t in texts]
-    names = jaccard.set_names(value, border)
+    value, border = similar.shingle_sets(pa.array(texts))
+    assert np.diff(border).tolist() == [len(shingles(t)) for t in texts]
+    names = similar.set_names(value, border)
     assert names[1] == names[2] != names[6] and names[0] == names[5]
-    assert jaccard.prefix_sizes(np.array([0, 1, 5, 10, 11]), 4, 5).tolist() == [0, 1, 2, 3, 3]
+
+
+def test_forest():
+    """Edges that join as much as all edges do, one fewer than the members of each component."""
+    rng = np.random.default_rng(2)
+    for _ in range(50):
+        n, m = int(rng.integers(1, 30)), int(rng.integers(0, 60))
+        a, b = rng.integers(0, n, m), rng.integers(0, n, m)
+        label = rng.integers(0, n, n)
+        kept = similar.forest(a, b, label)
+
+        def parts(edges):
+            of = label.copy()
+            for x, y in edges:
+                of[of == of[x]] = of[y]
+            return of
+
+        whole, own = parts(zip(a, b)), parts(zip(a[kept], b[kept]))
+        assert len(set(zip(whole.tolist(), own.tolist()))) == len(set(whole.tolist())) == len(set(own.tolist()))
+        assert len(kept) == len(set(label.tolist())) - len(set(whole.tolist()))
