@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, decontam, jaccard, rules, suffix_dedup
+from tessera.llm import bpe, decontam, rules, similar, suffix_dedup
 from tessera.llm.common import make_importable, stored
 
 
@@ -21,7 +21,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by a Jaccard similarity of 0.8 or more of five-word shingles, the document of smallest id stays."""
     make_importable(spark)
-    return jaccard.keep_first(docs, similarity=(4, 5), shingle=5)
+    return similar.keep_first(docs, similarity=(4, 5), shingle=5)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
