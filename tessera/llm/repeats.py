@@ -4,15 +4,19 @@ A window is a fixed number of consecutive units (bytes or words) of one document
 key is the least hash of the grams in it (winnowing), so equal windows have equal keys,
 and consecutive windows mostly share theirs: a run of windows with one key is one row.
 
- 0  of texts that occur more than once, only one is searched: nothing in the others is new;
+ 0  texts shorter than a window take no part; of texts that occur more than once, only one
+    is searched: nothing in the others is new;
  A  each task lists its runs; of those that share a key within the task only one is
-    dealt by its key, the others are candidates already;
+    dealt by its key, the others are candidates already. Where a text goes round (rulers,
+    padding), windows that equal one a period before are settled at once, and only a
+    first period is listed;
  B  runs whose key occurs twice or more are the candidates (a stream over sorted keys);
  C  joined with their texts, candidates become pieces: the bytes of a run's windows;
     equal pieces within a task are resolved there, but for one of them;
  D  pieces are dealt by key, and a kernel finds the equal windows among those of a key;
-    a key with more than group_rows pieces is streamed on instead, each of its windows
-    dealt by a 128-bit digest (X), so that no task holds an unbounded group;
+    a key with more pieces, windows or bytes than a group may have is handed on instead,
+    each of its windows dealt by a 128-bit digest (X), so that no task holds an unbounded
+    group; the HOT most frequent such keys are known from B and dealt to all tasks for it;
  E  the windows found are joined to their documents, as spans of units.
 
 Rows are told apart by document id and a hash of the text: rows that repeat both are
@@ -30,38 +34,63 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import NULL_ID, mix, pieces, texts_of
+from tessera.llm.common import NULL_ID, mix, pieces, quoted, texts_of
 
 
 @dataclass(frozen=True)
 class Limits:
-    """What one task holds at a time. group_rows: pieces of one key that a kernel takes at most; block_bytes: pieces of
-    several keys that it takes at once; held_runs, held_bytes: runs, and bytes of pieces, that a task looks for repeats among."""
+    """What one task holds at a time. group_rows, group_windows, group_bytes: pieces of one key that a kernel takes at most,
+    windows in them, and their bytes; block_bytes: pieces of several keys that it takes at once; held_runs, held_bytes: runs,
+    and bytes of pieces, that a task looks for repeats among."""
 
     group_rows: int = 50_000
+    group_windows: int = 300_000
+    group_bytes: int = 16 << 20
     block_bytes: int = 1 << 20
     held_runs: int = 600_000
     held_bytes: int = 24 << 20
 
 
-#: m holds a run's number of windows, the anchor's offset (11 bits) and whether it is a candidate already (1 bit).
+#: Keys that are dealt to all tasks since their groups are too large, at most; bounds what is broadcast.
+HOT = 10_000
+
+#: Windows of a run, at most; longer ones are several.
+LONGEST_RUN = 4096
+
+#: m holds a run's number of windows, the anchor's offset (11 bits), and whether its key is too frequent for a group, its
+#: windows are settled (not to be compared), it is a candidate already.
 _RUN_SCHEMA = "h long, s int, id long, tag int, a int, m long"
 _OFFSETS = 1 << 11
+_WIDE, _SETTLED, _KNOWN = 4, 2, 1
 
 
-def packed(n, off, known):
-    return n * (2 * _OFFSETS) + off * 2 + known
+def packed(n, off, known, settled=0):
+    return n * (8 * _OFFSETS) + off * 8 + settled * _SETTLED + known * _KNOWN
 
 
 def unpacked(m):
-    return m // (2 * _OFFSETS), m // 2 % _OFFSETS, m % 2 == 1
+    """Windows, offset, known, settled, wide."""
+    return m // (8 * _OFFSETS), m // 8 % _OFFSETS, m & _KNOWN != 0, m & _SETTLED != 0, m & _WIDE != 0
+
+
+def split_long(parts: tuple[np.ndarray, ...], longest: int = LONGEST_RUN) -> tuple[np.ndarray, ...]:
+    """Runs (key, document, first window, windows, offset, within) as runs of at most `longest` windows."""
+    key, doc, a, n, off, within = parts
+    if not len(n) or n.max() <= longest:
+        return parts
+    many = -(-n // longest)
+    step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    key, doc, a, n, off, within = (np.repeat(x, many) for x in (key, doc, a, n, off, within))
+    return key, doc, a + step * longest, np.minimum(n - step * longest, longest), np.maximum(off - step * longest, 0), within
 
 
 class Units(Protocol):
     window: int
+    least_bytes: int  # of a text with a window
 
-    def runs(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Of texts laid end to end: key, text number, first window, number of windows, anchor's offset, whether repeats may lie within."""
+    def runs(self, raw: np.ndarray, at: np.ndarray, later: bool) -> tuple[np.ndarray, ...]:
+        """Of texts laid end to end: key, text number, first window, number of windows, anchor's offset, whether repeats may
+        lie within, and whether the windows are settled: found here, and not to be compared."""
 
     def cutter(self, text: bytes):
         """A function (a, n) -> bytes of the units of n windows from a."""
@@ -74,32 +103,35 @@ class Units(Protocol):
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.hash(text_col).alias("tag"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    """id and tag tell rows apart; own is the id as it is."""
+    id_, text = F.col(quoted(id_col)), F.col(quoted(text_col))
+    return docs.select(F.coalesce(id_.cast("long"), F.lit(NULL_ID)).alias("id"), F.hash(text).alias("tag"), F.coalesce(text, F.lit("")).alias("text"), id_.alias("own"))
 
 
 def _batch(columns: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
 
-def _runs(units: Units, limits: Limits):
+def _runs(units: Units, later: bool, limits: Limits):
     def flush(held: list) -> pa.RecordBatch | None:
         if not held:
             return None
-        h, id_, tag, a, n, off, known = (np.concatenate(x) for x in zip(*held))
+        h, id_, tag, a, n, off, known, settled = (np.concatenate(x) for x in zip(*held))
+        known |= settled
         order = np.argsort(h, kind="stable")
         same = h[order][1:] == h[order][:-1]
         again = np.concatenate([[False], same])
         known[order] |= again | np.concatenate([same, [False]])
         s = np.zeros(len(h), np.int32)
         s[order[again]] = 1 + np.arange(again.sum(), dtype=np.int32)  # dealt anywhere
-        return _batch({"h": pa.array(h), "s": pa.array(s), "id": pa.array(id_), "tag": pa.array(tag), "a": pa.array(a, pa.int32()), "m": pa.array(packed(n, off, known))})
+        return _batch({"h": pa.array(h), "s": pa.array(s), "id": pa.array(id_), "tag": pa.array(tag), "a": pa.array(a, pa.int32()), "m": pa.array(packed(n, off, known, settled))})
 
     def work(batches):
         held, rows = [], 0
         for batch in batches:
             for part in pieces(batch, "text"):
-                key, doc, a, n, off, within = units.runs(*texts_of(part.column(2)))
-                held.append((key.view(np.int64), np.asarray(part.column(0))[doc], np.asarray(part.column(1))[doc], a, n, off, within))
+                key, doc, a, n, off, within, settled = units.runs(*texts_of(part.column(2)), later)
+                held.append((key.view(np.int64), np.asarray(part.column(0))[doc], np.asarray(part.column(1))[doc], a, n, off, within, settled))
                 rows += len(key)
                 if rows > limits.held_runs:
                     yield flush(held)
@@ -144,7 +176,10 @@ _PIECE_SCHEMA = "h long, s int, id long, tag int, a int, m long, piece binary"
 
 def _cut(units: Units, later: bool, limits: Limits):
     def flush(rows: list, groups: dict) -> pa.RecordBatch:
-        known, send, s, spread = [False] * len(rows), [True] * len(rows), [0] * len(rows), 0
+        known, send, s, spread = [r[7] for r in rows], [not r[7] for r in rows], list(range(len(rows))), len(rows)
+        for r, x in enumerate(rows):
+            if not x[7] and not x[8]:
+                s[r] = 0
         for same in groups.values():
             if len(same) > 1:
                 first = min(same, key=lambda i: rows[i][1:4])  # the place: id, tag, a
@@ -155,11 +190,11 @@ def _cut(units: Units, later: bool, limits: Limits):
                         spread += 1
                         s[i] = spread
         # in order of keys, so that like pieces stand together and compress well
-        h, id_, tag, a, n, off, piece, s, known = zip(*sorted(((*r[:6], r[6] if x else None, t, k) for r, x, t, k in zip(rows, send, s, known)), key=lambda r: (r[0], r[6] or b"")))
+        h, id_, tag, a, n, off, piece, wide, s, known = zip(*sorted(((*r[:6], r[6] if x else None, r[8], t, k) for r, x, t, k in zip(rows, send, s, known)), key=lambda r: (r[0], r[6] or b"")))
         return _batch(
             {
                 "h": pa.array(h, pa.int64()), "s": pa.array(s, pa.int32()), "id": pa.array(id_, pa.int64()), "tag": pa.array(tag, pa.int32()), "a": pa.array(a, pa.int32()),
-                "m": pa.array(packed(np.array(n, np.int64), np.array(off), np.array(known))), "piece": pa.array(piece, pa.binary()),
+                "m": pa.array(packed(np.array(n, np.int64), np.array(off), np.array(known)) + _WIDE * np.array(wide)), "piece": pa.array(piece, pa.binary()),
             }
         )
 
@@ -171,20 +206,21 @@ def _cut(units: Units, later: bool, limits: Limits):
                 lists = part.column(3)
                 border = np.asarray(lists.offsets) - lists.offsets[0].as_py()
                 flat = lists.flatten()
-                n_of, off_of, _ = unpacked(np.asarray(flat.field(2)))
-                fields = [np.asarray(flat.field(0)).tolist(), np.asarray(flat.field(1)).tolist(), n_of.tolist(), off_of.tolist()]
+                n_of, off_of, _, settled, wide = unpacked(np.asarray(flat.field(2)))
+                fields = [x.tolist() for x in (np.asarray(flat.field(0)), np.asarray(flat.field(1)), n_of, off_of, settled, wide)]
                 for d, (id_, tag) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist())):
                     if later and (id_, tag) == last:
                         continue  # a row that repeats the one before is the same document
                     last = id_, tag
                     cut = units.cutter(raw[at[d] : at[d + 1]].tobytes())
                     for i in range(border[d], border[d + 1]):
-                        h, a, n, off = (f[i] for f in fields)
-                        piece = cut(a, n)
-                        groups.setdefault((h, off, piece), []).append(len(rows))
-                        rows.append((h, id_, tag, a, n, off, piece))
-                        size += len(piece)
-                    if size > limits.held_bytes:
+                        h, a, n, off, is_settled, is_wide = (f[i] for f in fields)
+                        piece = None if is_settled else cut(a, n)
+                        if not is_settled:
+                            groups.setdefault((h, off, piece), []).append(len(rows))
+                            size += len(piece)
+                        rows.append((h, id_, tag, a, n, off, piece, is_settled, is_wide))
+                    if size + 100 * len(rows) > limits.held_bytes:
                         yield flush(rows, groups)
                         rows, groups, size = [], {}, 0
         if rows:
@@ -221,34 +257,42 @@ def _compare(units: Units, later: bool, limits: Limits):
         return _found(*ends, none + [r[5] for r in rows], none + [r[6] for r in rows])
 
     def work(batches):
-        block, size = [], 0  # whole groups
-        group, wide = [], False  # rows of the key at hand that are not in a block or handed on yet
+        block, size, windows = [], 0, 0  # whole groups
+        group, group_size, group_windows, wide = [], 0, 0, False  # rows of the key at hand that are not in a block or handed on yet
         key = None
         for batch in batches:
-            plain = np.asarray(batch.column(batch.schema.get_field_index("piece")).is_null())
+            column = lambda c, batch=batch: batch.column(batch.schema.get_field_index(c))
+            n, off, known, _, hot = unpacked(np.asarray(column("m")))
+            plain = np.asarray(column("piece").is_null())
             if plain.any():  # resolved before
-                part = batch.filter(pa.array(plain))
-                n = unpacked(np.asarray(part.column(part.schema.get_field_index("m"))))[0].tolist()
-                yield _found(*[part.column(part.schema.get_field_index(c)).to_pylist() for c in ("id", "tag", "a")], n)
-            part = batch.filter(pa.array(~plain))
-            lists = {c: part.column(part.schema.get_field_index(c)).to_pylist() for c in ("h", "id", "tag", "a", "piece")}
-            n, off, known = (x.tolist() for x in unpacked(np.asarray(part.column(part.schema.get_field_index("m")))))
-            for row in zip(lists["h"], lists["id"], lists["tag"], lists["a"], n, off, lists["piece"], known):
+                yield _found(*[column(c).filter(pa.array(plain)).to_pylist() for c in ("id", "tag", "a")], n[plain].tolist())
+            rows = zip(*[column(c).to_pylist() for c in ("h", "id", "tag", "a")], n.tolist(), off.tolist(), column("piece").to_pylist(), known.tolist())
+            if hot.any():  # in parts, dealt to all tasks
+                straight = [r for r, x, y in zip(rows, hot.tolist(), plain.tolist()) if x and not y]
+                if straight:
+                    yield hand_on(straight)
+                rows = zip(*[column(c).to_pylist() for c in ("h", "id", "tag", "a")], n.tolist(), off.tolist(), column("piece").to_pylist(), known.tolist())
+            for row, skip in zip(rows, (plain | hot).tolist()):
+                if skip:
+                    continue
                 if row[0] != key:
                     if wide and group:
                         yield hand_on(group)
                     elif not wide:
                         block += group
-                        size += sum(len(r[6]) for r in group)
-                    group, wide, key = [], False, row[0]
-                    if size > limits.block_bytes:
+                        size += group_size
+                        windows += group_windows
+                    group, group_size, group_windows, wide, key = [], 0, 0, False, row[0]
+                    if size > limits.block_bytes or windows > limits.group_windows:
                         if (out := judge(block)) is not None:
                             yield out
-                        block, size = [], 0
+                        block, size, windows = [], 0, 0
                 group.append(row)
-                if len(group) > limits.group_rows or wide and len(group) >= 1000:
+                group_size += len(row[6])
+                group_windows += row[4]
+                if len(group) > limits.group_rows or group_size > limits.group_bytes or group_windows > limits.group_windows or wide and (len(group) >= 1000 or group_size > limits.block_bytes):
                     yield hand_on(group)
-                    group, wide = [], True
+                    group, group_size, group_windows, wide = [], 0, 0, True
         if wide and group:
             yield hand_on(group)
         elif not wide:
@@ -259,13 +303,26 @@ def _compare(units: Units, later: bool, limits: Limits):
     return work
 
 
-def _digested(units: Units):
+def _digested(units: Units, rows: int = 1 << 16):
+    def flush(held: list) -> pa.RecordBatch:
+        d, e, id_, tag, a, n = zip(*held)
+        total = np.array(n)
+        step = np.arange(total.sum()) - np.repeat(np.cumsum(total) - total, total)
+        each = lambda x, kind: np.repeat(np.array(x, kind), total)
+        return _batch({"d": pa.array(np.concatenate(d).view(np.int64)), "e": pa.array(np.concatenate(e).view(np.int64)), "id": pa.array(each(id_, np.int64)), "tag": pa.array(each(tag, np.int32)), "a": pa.array((each(a, np.int64) + step).astype(np.int32)), "n": pa.array(np.ones(len(step), np.int32))})
+
     def work(batches):
+        held, size = [], 0
         for batch in batches:
             part = batch.filter(pa.array(~np.asarray(batch.column(5).is_null())))
             for id_, tag, a, n, piece in zip(*[part.column(k).to_pylist() for k in (0, 1, 2, 3, 5)]):
-                d, e = units.digests(piece, n)
-                yield _batch({"d": pa.array(d.view(np.int64)), "e": pa.array(e.view(np.int64)), "id": pa.array(np.full(n, id_)), "tag": pa.array(np.full(n, tag, np.int32)), "a": pa.array(np.arange(a, a + n, dtype=np.int32)), "n": pa.array(np.ones(n, np.int32))})
+                held.append((*units.digests(piece, n), id_, tag, a, n))
+                size += n
+                if size > rows:
+                    yield flush(held)
+                    held, size = [], 0
+        if held:
+            yield flush(held)
 
     return work
 
@@ -276,22 +333,30 @@ def _settled(batches):
         yield batch.filter(pa.array(np.asarray(batch.column(5).is_null()))).select(["id", "tag", "a", "n"])
 
 
-def _copies(rows: DataFrame) -> DataFrame:
+def _copies(rows: DataFrame, least_bytes: int) -> DataFrame:
     """id, tag and copy for rows whose whole text occurs more than once: copy is false for those of the smallest id."""
-    keys = rows.select("id", "tag", F.xxhash64("text").alias("x"), F.octet_length("text").alias("size"))
+    keys = rows.where(F.octet_length("text") >= least_bytes).select("id", "tag", F.xxhash64("text").alias("x"), F.octet_length("text").alias("size"))
     text = ["x", "tag", "size"]  # a digest of over 96 bits, by two unlike hashes and the length
     firsts = keys.groupBy(*text).agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    return keys.join(firsts, text).groupBy("id", "tag").agg(F.max(F.col("id") != F.col("first")).alias("copy"))
+    # the most frequent texts meet no rows in one task: they are few, and go to all
+    hot = firsts.orderBy(F.desc("n"), *text).limit(HOT).select(*text, F.col("first").alias("hot"))
+    told = keys.join(F.broadcast(hot), text, "left")
+    rest = told.where("hot is null").select("id", "tag", "x", "size").join(firsts, text).select("id", "tag", "first")
+    told = told.where("hot is not null").select("id", "tag", F.col("hot").alias("first")).unionByName(rest)
+    return told.groupBy("id", "tag").agg(F.max(F.col("id") != F.col("first")).alias("copy"))
 
 
 def spans(rows: DataFrame, units: Units, later: bool, limits: Limits = Limits()) -> DataFrame:
     """rows: keyed(). rows with copy (as in _copies(), null for texts that occur once) and found, an array of (a, n):
     windows a..a+n-1 stand elsewhere too (later: in an earlier place). Whole copies have no windows listed; see removed()."""
-    marked = rows.join(_copies(rows), ["id", "tag"], "left")
-    runs = marked.where("copy is null or not copy").select("id", "tag", "text").mapInArrow(_runs(units, limits), _RUN_SCHEMA).repartition("h", "s").sortWithinPartitions("h", "s")
+    marked = rows.join(_copies(rows, units.least_bytes), ["id", "tag"], "left")
+    searched = marked.where((F.octet_length("text") >= units.least_bytes) & F.expr("copy is null or not copy"))
+    runs = searched.select("id", "tag", "text").mapInArrow(_runs(units, later, limits), _RUN_SCHEMA).repartition("h", "s").sortWithinPartitions("h", "s")
     candidates = runs.mapInArrow(_neighbours(["h", "s"], True, ["id", "tag", "h", "a", "m"]), "id long, tag int, h long, a int, m long")
-    lists = candidates.groupBy("id", "tag").agg((F.collect_set if later else F.collect_list)(F.struct("h", "a", "m")).alias("runs"))
-    cut = rows.join(lists, ["id", "tag"]).select("id", "tag", "text", "runs").mapInArrow(_cut(units, later, limits), _PIECE_SCHEMA)
+    hot = candidates.groupBy("h").agg(F.count("*").alias("k")).where(F.col("k") > limits.group_rows).orderBy(F.desc("k"), "h").limit(HOT)
+    told = candidates.join(F.broadcast(hot), "h", "left").withColumn("m", F.when(F.col("k").isNull(), F.col("m")).otherwise(F.col("m") + _WIDE))
+    lists = told.groupBy("id", "tag").agg((F.collect_set if later else F.collect_list)(F.struct("h", "a", "m")).alias("runs"))
+    cut = rows.select("id", "tag", "text").join(lists, ["id", "tag"]).select("id", "tag", "text", "runs").mapInArrow(_cut(units, later, limits), _PIECE_SCHEMA)
     found = cut.repartition("h", "s").sortWithinPartitions("h", "s").mapInArrow(_compare(units, later, limits), _FOUND_SCHEMA).repartition("id", "tag")
     # both uses read one exchange; the pieces in it are those of too frequent keys
     wide = found.mapInArrow(_digested(units), "d long, e long, id long, tag int, a int, n int").repartition("d", "e").sortWithinPartitions("d", "e", "id", "tag", "a")

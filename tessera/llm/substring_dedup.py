@@ -13,7 +13,12 @@ over their pairs. A window is the classes after its words to the left and to the
 of each, the earliest occurrence stays. What is removed are the maximal repeats of window
 words or more.
 
-Cases: a null text has no words; a text of fewer words than the window loses nothing;
+Whole copies of a text take no part: they are told by 96 bits of two unlike hashes and
+the length, and later ones lose every word.
+
+Cases: a null text has no words; a text of fewer words than the window loses nothing; a
+very long text is cut by one task at a time and compared in pieces; of words that go
+round with a period of up to four, only a first period is compared;
 rows that repeat id and text are one document, and keep or lose the same; rows that
 repeat an id with other texts are ordered by a hash of the text; a null id is smaller
 than all others; an empty table gives an empty result; other columns are not read.
@@ -30,9 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import NULL_ID, SPACE, map_texts, mix, rolled, span_hashes, texts_of, word_spans
+from tessera.llm.common import BASE, SPACE, map_texts, mix, rolled, span_hashes, texts_of, word_spans
+from tessera.llm.repeats import _OFFSETS as OFFSETS
 from tessera.llm.repeats import Limits, keyed, removed, second, spans
 
+#: Periods, in words, of text that goes round, for which a first period stands for the rest.
+PERIODS = 4
+
 
 def classes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Numbers of the distinct pairs."""
@@ -44,13 +53,17 @@ class Words:
         self.window = window
         self.gram = gram or max(1, window // 5)
         self.width = window - self.gram + 1
+        self.least_bytes = 2 * window - 1
+        if self.width > OFFSETS:
+            raise ValueError(f"a window has at most {OFFSETS} places for its anchor")
 
-    def runs(self, raw, at):
+    def runs(self, raw, at, later):
         starts, ends, border = word_spans(raw, at, ~SPACE)
         none = np.zeros(0, np.int64)
         if len(starts) < self.window:
-            return none.view(np.uint64), none, none, none, none, none.astype(bool)
-        hashes = mix(rolled(span_hashes(raw, starts, ends), self.gram))
+            return none.view(np.uint64), none, none, none, none, none.astype(bool), none.astype(bool)
+        words = span_hashes(raw, starts, ends)
+        hashes = mix(rolled(words, self.gram))
         n_windows = len(starts) - self.window + 1
         least, anchor = hashes[:n_windows].copy(), np.arange(n_windows)
         for d in range(1, self.width):
@@ -60,11 +73,30 @@ class Words:
             anchor[better] = np.flatnonzero(better) + d
         doc = np.repeat(np.arange(len(at) - 1), np.diff(border))
         ok = doc[:n_windows] == doc[self.window - 1 :]
+        # windows that equal one a few words before, in the same document, are settled here
+        again, found = np.zeros(n_windows, bool), np.zeros(n_windows, bool)
+        for d in range(1, min(PERIODS, n_windows - 1) + 1):
+            same = np.zeros(len(words) + 1, np.int64)
+            np.cumsum((words[d:] == words[:-d]) & (doc[d:] == doc[:-d]), out=same[d + 1 :])
+            here = same[self.window :] - same[: -self.window] == self.window
+            here = here[:n_windows] & ok
+            again |= here
+            found |= here
+            if not later:
+                found[:-d] |= here[d:]
+        ok &= ~again
         new = ok.copy()
         new[1:] &= (anchor[1:] != anchor[:-1]) | ~ok[:-1]
         a = np.flatnonzero(new)
         stop = np.flatnonzero(ok & np.concatenate([~ok[1:] | new[1:], [True]])) + 1
-        return least[a], doc[a], a - border[doc[a]], stop - a, anchor[a] - a, np.zeros(len(a), bool)
+        edge = np.flatnonzero(np.diff(np.concatenate([[False], found, [False]]).astype(np.int8)))
+        b, past = edge[::2], edge[1::2]
+        whole = lambda x, y: np.concatenate([x, y])
+        settled = whole(np.zeros(len(a), bool), np.ones(len(b), bool))
+        return (
+            whole(least[a], mix(b.astype(np.uint64) * BASE + np.uint64(len(words)))), doc[whole(a, b)], whole(a - border[doc[a]], b - border[doc[b]]), whole(stop - a, past - b),
+            whole(anchor[a] - a, np.zeros(len(b), np.int64)), settled.copy(), settled,
+        )
 
     def cutter(self, text):
         words = text.split()
@@ -116,7 +148,7 @@ class Words:
 
 def measure_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, limits: Limits = Limits()) -> DataFrame:
     """Per row: doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space), spans (of words removed), and where asked kept_text."""
-    joined = spans(keyed(docs, id_col, text_col), Words(window), True, limits).select("id", "text", "found", "copy")
+    joined = spans(keyed(docs, id_col, text_col), Words(window), True, limits).select("own", "text", "found", "copy")
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
         raw, at = texts_of(part.column(1))
@@ -131,8 +163,8 @@ def measure_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", t
             out.append((len(words), sum(b - a for a, b in cut), hashlib.sha256(kept).hexdigest(), [{"start": a, "end": b} for a, b in cut], kept.decode() if keep_text else None))
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         n_words, gone, digest, cuts, texts = zip(*out)
-        return pa.RecordBatch.from_arrays([part.column(0), pa.array(n_words, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest), pa.array(cuts, kind), pa.array(texts, pa.string())], ["id", "n_words", "n_removed", "kept_sha256", "spans", "kept_text"])
+        return pa.RecordBatch.from_arrays([part.column(0), pa.array(n_words, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest), pa.array(cuts, kind), pa.array(texts, pa.string())], ["own", "n_words", "n_removed", "kept_sha256", "spans", "kept_text"])
 
-    out = map_texts(joined, work, "id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:long,end:long>>, kept_text string")
-    out = out.select(F.when(F.col("id") != NULL_ID, F.col("id")).alias(id_col), "n_words", "n_removed", "kept_sha256", "spans", "kept_text")
+    out = map_texts(joined, work, f"own {joined.schema['own'].dataType.simpleString()}, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:long,end:long>>, kept_text string")
+    out = out.select(F.col("own").alias(id_col), "n_words", "n_removed", "kept_sha256", "spans", "kept_text")
     return out if keep_text else out.drop("kept_text")

@@ -261,7 +261,7 @@ def _gone(units, size, later):
 
 
 #: With tiny limits every frequent key takes the way by digests, and every batch is split.
-LIMITS = [repeats.Limits(), repeats.Limits(group_rows=2, block_bytes=100, held_runs=50, held_bytes=500)]
+LIMITS = [repeats.Limits(), repeats.Limits(group_rows=2, block_bytes=100, held_runs=50, held_bytes=500), repeats.Limits(group_windows=9, group_bytes=40, block_bytes=60)]
 
 
 def _made(seed, alphabet, parts):
@@ -279,10 +279,14 @@ def _made(seed, alphabet, parts):
     docs[26] = docs[3]
     docs[27] = ""
     docs[28] = "ab ab " * 20
+    # rulers and padding, alone and within other text
+    docs[29], docs[30], docs[31] = "-" * 90, "x " + "-" * 70 + " y", "a b " + "- " * 40 + docs[3]
+    docs[32], docs[33] = "-" * 25 + "=" * 60 + "ab" * 40, "a b c " * 12 + "| " * 30 + "a b c " * 9
+    docs[34] = "q" + "ab" * 35 + "-" * 13 + "a b c " * 9
     return docs
 
 
-@pytest.mark.parametrize("limits", LIMITS, ids=["groups", "digests"])
+@pytest.mark.parametrize("limits", LIMITS, ids=["groups", "digests", "windows"])
 @pytest.mark.parametrize("keep", ["none", "first"])
 def test_suffix_dedup(spark, keep, limits):
     docs = _made(5, "ab é", 4)
@@ -295,7 +299,7 @@ def test_suffix_dedup(spark, keep, limits):
         assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == (len(raw), len(gone[i]), spans, hashlib.sha256(kept).hexdigest()), i
 
 
-@pytest.mark.parametrize("limits", LIMITS, ids=["groups", "digests"])
+@pytest.mark.parametrize("limits", LIMITS, ids=["groups", "digests", "windows"])
 def test_substring_dedup(spark, limits):
     docs = _made(6, "ab  ", 5)
     got = _kernel_rows(spark, docs, lambda d: substring_dedup.measure_repeats(d, window=6, keep_text=True, limits=limits))
@@ -306,6 +310,25 @@ def test_substring_dedup(spark, limits):
         assert (got[i].n_words, got[i].n_removed, got[i].kept_text) == (len(words), len(gone[i]), kept), i
 
 
+@pytest.mark.parametrize("later", [False, True])
+def test_long_runs_are_split(later):
+    """Windows of a run are listed once, whatever it is split into; those that go round are settled."""
+    text = np.frombuffer(b"-" * 10_000 + b"abc" + b"ab" * 300, np.uint8)
+    key, doc, a, n, off, within, settled = suffix_dedup.Bytes(200).runs(text, np.array([0, len(text)]), later)
+    assert n.max() >= 9000 and n[~settled].max() < 500
+    listed = np.zeros(len(text) - 199, int)
+    for first, many, known in zip(a, n, settled):
+        if not known:
+            listed[first : first + many] += 1
+    assert listed.max() == 1
+    seen, need = set(), {bytes(text[i : i + 200]) for i in range(len(text) - 199)}
+    for i in np.flatnonzero(listed):
+        seen.add(bytes(text[i : i + 200]))
+    assert seen == need
+    parts = repeats.split_long((np.array([7, 8]), np.array([0, 1]), np.array([5, 0]), np.array([9, 2]), np.array([0, 1]), np.array([True, False])), 4)
+    assert [x.tolist() for x in parts[:4]] == [[7, 7, 7, 8], [0, 0, 0, 1], [5, 9, 13, 0], [4, 4, 1, 2]]
+
+
 def _kernel_rows(spark, docs, run):
     return {r.doc_id: r for r in run(spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3)).collect()}
 
