@@ -1,27 +1,34 @@
 """Language-model scoring: exact unigram counts and a log-bilinear model with normalised probabilities.
 
 Tokens are the words of the text, A-Z lower-cased, then one end. Counts of all
-training tokens are gathered by a distributed sum. The model predicts a token's
-class from the classes of the tokens before it: the most frequent words are classes
-of their own, every other word belongs to one of a few buckets by its last bytes, and
-within its bucket a word has its smoothed share of the counts. So
-log p(word) = log p(class | context) + log p(word | class) sums to one over all words,
-one unseen word of each bucket included.
-
-p(class | context) is a softmax of (sum of position-weighted context vectors) . (class
-vector) + bias. It is trained in numpy by noise-contrastive estimation: first on a
-bounded sample, then in one pass over all training documents, every task from the same
-start, and the tasks' parameters are averaged by their token counts. Scores come from
-batched matrix products over all classes.
+training tokens are gathered by a distributed sum. The model has a vector for each of the
+`vocabulary` most frequent words, both as context and as target, and factors
+
+    p(word | context) = p(class | context) p(word | class, context).
+
+The end and the most frequent words are classes of their own; the other words of the
+vocabulary are in groups of like endings; and every word beyond it belongs to one of a few
+buckets by its last bytes, where it has its smoothed share of the counts. Both factors
+are a softmax of (sum of position-weighted context vectors) . (class's or word's vector)
++ bias, so that the probabilities of all words, with one unseen word of each bucket,
+sum to one.
+
+Both are trained in numpy by noise-contrastive estimation: on a bounded sample first, then
+on all training documents. These are dealt by a hash to shards of about SHARD_TOKENS tokens,
+and the shards to `rounds` rounds. All shards of a round start from the same parameters, and
+theirs are averaged by their tokens, in order of shards, for the next. Neither shards nor
+the order in them depend on how the table is partitioned, and so scores don't either. Scores come from
+batched matrix products over all classes, and over the words of each group.
 
 A word's count is needed for every token. The types frequent enough to be among the
-max_broadcast most frequent ones are broadcast; the rest of a document's words are
-joined with the count table by a shuffle.
+max_broadcast most frequent ones are broadcast, but for words over MAX_WORD bytes; the rest of
+a document's words are joined with the count table by a shuffle.
 
 Cases: a null text counts as empty, and has the end token only; without training rows
-all counts are zero and the model is uniform over its classes; repeated rows are
-scored each on its own and alike; an empty table gives an empty result; other columns
-are not read.
+all counts are zero and the model is near uniform over its classes; repeated rows are
+scored each on its own and alike; of equally frequent words those that sort first come
+first; a very long text is one row and is scored in steps; an empty table gives an empty
+result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -32,20 +39,29 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark import TaskContext
 
-from tessera.llm.common import LOWER, drop_stored, map_texts, pieces, stored
+from tessera.llm.common import LOWER, drop_stored, map_texts, pieces, quoted, stored
 
-HEAD, BUCKETS, CONTEXT, WIDTH = 127, 32, 4, 16
-MAX_BROADCAST = 200_000
+#: Words that are classes of their own, buckets of words beyond the vocabulary, tokens of context, and the vectors' width.
+HEAD, BUCKETS, CONTEXT, WIDTH = 95, 32, 4, 16
 
-#: Documents of the warm start, and characters of each, at most.
-WARM_DOCUMENTS, WARM_LENGTH = 400, 20_000
+#: Words with vectors of their own, at most; words of a group, about; rounds of averaging; tokens of a shard, about.
+VOCABULARY, GROUP, ROUNDS, SHARD_TOKENS = 16_000, 128, 2, 3_000_000
 
-#: Types that a task counts before it hands its counts on, and words that a worker remembers.
-_HELD = 250_000
+#: Types whose counts go to every worker, at most, and bytes of such a word.
+MAX_BROADCAST, MAX_WORD = 200_000, 64
+
+#: Documents of the warm start, and tokens of each, at most (it leaves longer ones out; the rounds take all).
+WARM_DOCUMENTS, WARM_LENGTH = 400, 3000
+
+#: Tokens that a step of training draws from, in the order of the shard.
+_BLOCK = 1 << 16
+
+#: Types and bytes of words that a task counts before it hands its counts on; and words that a worker remembers.
+_HELD, _HELD_BYTES = 250_000, 16 << 20
 
 END = b""
 
@@ -65,229 +81,380 @@ def count_tokens(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     def count(batches):
         held: Counter = Counter()
+        size = 0
         for batch in batches:
-            for part in pieces(batch, text_col):
+            for part in pieces(batch, "text"):
                 for text in part.column(0).to_pylist():
-                    held.update(_tokens(text))
-                if len(held) > _HELD:
+                    tokens = _tokens(text)
+                    held.update(tokens)
+                    if max(map(len, tokens)) > MAX_WORD:
+                        size += sum(len(w) for w in set(tokens) if len(w) > MAX_WORD)
+                if len(held) > _HELD or size > _HELD_BYTES:
                     yield _packed(held)
-                    held = Counter()
+                    held, size = Counter(), 0
         if held:
             yield _packed(held)
 
     def _packed(held: Counter) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["token", "n"])
 
-    return docs.select(text_col).mapInArrow(count, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    return docs.select(F.col(quoted(text_col)).alias("text")).mapInArrow(count, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
 class Counts:
-    """What of the counts goes to every worker: totals, the frequent types and the buckets' sums."""
+    """What of the counts goes to every worker: totals, the frequent types, the vocabulary's layout and the buckets' sums."""
 
-    def __init__(self, table: DataFrame, max_broadcast: int):
+    def __init__(self, table: DataFrame, max_broadcast: int, vocabulary: int = VOCABULARY):
         total = table.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
         self.tokens, self.types = total.n or 0, total.v
+        short = table.where(F.octet_length("token") <= MAX_WORD)
         # the least count such that at most max_broadcast types have it or more, from a histogram of a few thousand bins
         step = F.when(F.col("n") < 1024, F.col("n")).otherwise(F.floor(F.log2(F.col("n").cast("double")) * 64) + 384).cast("long")
-        bins = sorted((r.b, r.least, r.types) for r in table.groupBy(step.alias("b")).agg(F.min("n").alias("least"), F.count("*").alias("types")).collect())
+        bins = sorted((r.b, r.least, r.types) for r in short.groupBy(step.alias("b")).agg(F.min("n").alias("least"), F.count("*").alias("types")).collect())
         self.least, held = None, 0
         for _, least, types in reversed(bins):
             if held + types > max_broadcast:
                 break
             self.least, held = least, held + types
-        frequent = table.where(F.col("n") >= self.least).collect() if self.least is not None else []
+        frequent = short.where(F.col("n") >= self.least).collect() if self.least is not None else []
         frequent = sorted(((r.n, bytes(r.token)) for r in frequent), key=lambda x: (-x[0], x[1]))
         self.whole = len(frequent) == self.types
-        self.head = [END] + [w for _, w in frequent if w != END][:HEAD]
         self.n = {w: n for n, w in frequent}
         self.n |= {END: r.n for r in table.where(F.col("token") == F.lit(END)).collect()}  # a row at most
-        rest = table.where(~F.col("token").isin(self.head)).groupBy((F.crc32(F.expr("substring(token, -2, 2)")) % BUCKETS).alias("b")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
+        ranked = [w for _, w in frequent if w != END]
+        head, others = [END] + ranked[:HEAD], sorted(ranked[HEAD:vocabulary], key=lambda w: (w[::-1], w))
+        #: Words with vectors: the classes of their own, then the groups, one after another.
+        self.vocabulary = head + others
+        self.head = len(head)
+        edges = np.linspace(0, len(others), -(-len(others) // GROUP) + 1).astype(np.int64) if others else np.zeros(1, np.int64)
+        self.borders = self.head + edges
+        self.group = np.repeat(np.arange(len(edges) - 1), np.diff(edges))  # of each word from head on
+        sums = table.groupBy((F.crc32(F.expr("substring(token, -2, 2)")) % BUCKETS).alias("b")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
         self.bucket = np.zeros((BUCKETS, 2))
-        for r in rest:
+        for r in sums:
             self.bucket[r.b] = r.n, r.v
-        self.classes = HEAD + 1 + BUCKETS
+        for w in self.vocabulary:
+            if w in self.n:
+                self.bucket[bucket_of(w)] -= self.n[w], 1
+        own = np.array([self.n.get(w, 0) for w in self.vocabulary], float)
+        groups = np.add.reduceat(own, self.borders[:-1]) if len(self.group) else np.zeros(0)
+        #: Shares of the classes (own words, groups, buckets), and of the words in their group.
+        self.shares = np.concatenate([own[: self.head], groups, self.bucket[:, 0]]) + 0.5
+        self.shares /= self.shares.sum()
+        self.within = own[self.head :] / np.maximum(groups, 1)[self.group] if len(self.group) else np.zeros(0)
+        self.classes = len(self.shares)
 
-    def class_shares(self) -> np.ndarray:
-        share = np.full(self.classes, 0.5)
-        for i, w in enumerate(self.head):
-            share[i] += self.n.get(w, 0)
-        share[HEAD + 1 :] += self.bucket[:, 0]
-        return share / share.sum()
+    def class_of(self, code: int) -> int:
+        return code if code < self.head else self.head + int(self.group[code - self.head])
 
 
 class Words(dict):
-    """Word to code, remembered: a frequent word's code is its number, any other word's is the number of frequent ones plus its bucket."""
+    """Word to code, remembered: its place in the vocabulary, then in the other frequent words, or the number of all these plus its bucket."""
 
     def __init__(self, counts: Counts):
-        head = set(counts.head)
-        self.frequent = counts.head + [w for w in counts.n if w not in head]
+        known = set(counts.vocabulary)
+        self.frequent = counts.vocabulary + [w for w in counts.n if w not in known]
         super().__init__((w, i) for i, w in enumerate(self.frequent))
-        self.held = len(self.frequent) + _HELD
-        self.classes = np.array([i if i < len(counts.head) else HEAD + 1 + bucket_of(w) for i, w in enumerate(self.frequent)] + [HEAD + 1 + b for b in range(BUCKETS)])
+        self.size, self.most = 0, _HELD_BYTES
+        v, groups = len(counts.vocabulary), counts.head + len(counts.borders) - 1
+        buckets = np.array([bucket_of(w) for w in self.frequent[v:]] + list(range(BUCKETS)), np.int64)
+        self.classes = np.concatenate([np.arange(counts.head), counts.head + counts.group, groups + buckets]).astype(np.int64)
+        self.context = np.concatenate([np.arange(v), v + buckets])  # the vector that stands for it before others
         self.logs = np.log10([counts.n.get(w, 0) + 0.1 for w in self.frequent] + [0.1] * BUCKETS)
 
     def __missing__(self, word: bytes) -> int:
         out = self[word] = len(self.frequent) + bucket_of(word)
+        self.size += len(word) + 100
         return out
 
     def trim(self) -> None:
-        if len(self) > self.held:
+        if self.size > self.most:
             self.clear()
             self.update((w, i) for i, w in enumerate(self.frequent))
+            self.size = 0
+
+
+def sequences(codes: np.ndarray, border: np.ndarray, words_context: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' context numbers in one array, each text after CONTEXT starting marks, and the tokens' places in it."""
+    sizes = np.diff(border)
+    at = np.arange(len(codes)) + CONTEXT * np.repeat(np.arange(1, len(sizes) + 1), sizes)
+    sequence = np.full(len(codes) + CONTEXT * len(sizes), start)
+    sequence[at] = words_context[codes]
+    return sequence, at
 
 
 class LogBilinear:
-    """context: (CONTEXT, classes + 1, WIDTH) position-weighted vectors r * c; target: (classes, WIDTH); bias: (classes,)."""
+    """vector: of words (and buckets, and what stands before a text's start) as context; weight: of its places; target, bias:
+    of classes; word, word_bias: of the vocabulary's words within their groups."""
 
-    def __init__(self, shares: np.ndarray, seed: int = 3):
-        rng = np.random.default_rng(seed)
-        classes = len(shares)
-        self.shares = shares
-        self.vector = rng.normal(0, 0.1, (classes + 1, WIDTH)).astype(np.float32)  # the last stands before a text's start
+    NAMES = ("vector", "weight", "target", "bias", "word", "word_bias")
+
+    def __init__(self, counts: Counts, seed: int = 3):
+        rng, v = np.random.default_rng(seed), len(counts.vocabulary)
+        self.shares, self.head, self.borders, self.group, self.within = counts.shares, counts.head, counts.borders, counts.group, counts.within
+        small = lambda n: rng.normal(0, 0.1, (n, WIDTH)).astype(np.float32)
+        self.vector = small(v + BUCKETS + 1)
         self.weight = np.ones((CONTEXT, WIDTH), np.float32)
-        self.target = rng.normal(0, 0.1, (classes, WIDTH)).astype(np.float32)
-        self.bias = np.log(shares).astype(np.float32)
+        self.target, self.bias = small(len(self.shares)), np.log(self.shares).astype(np.float32)
+        self.word = small(v)
+        self.word_bias = np.concatenate([np.zeros(self.head), np.log(np.maximum(self.within, 1e-9))]).astype(np.float32)
+        self.state: dict[str, np.ndarray] = {k: np.full(getattr(self, k).shape, 1e-3, np.float32) for k in self.NAMES}
+
+    @property
+    def start(self) -> int:
+        return len(self.vector) - 1
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in (self.vector, self.weight, self.target, self.bias)]).astype(np.float64)
+        return np.concatenate([getattr(self, k).ravel() for k in self.NAMES])
 
     def load(self, flat: np.ndarray) -> None:
-        for x in (self.vector, self.weight, self.target, self.bias):
+        for k in self.NAMES:
+            x = getattr(self, k)
             x[...] = flat[: x.size].reshape(x.shape)
             flat = flat[x.size :]
 
     def predicted(self, sequence: np.ndarray, at: np.ndarray) -> np.ndarray:
         out = np.zeros((len(at), WIDTH), np.float32)
         for j in range(CONTEXT):
-            out += (self.vector * self.weight[j])[sequence[at - 1 - j]]
+            out += self.vector[sequence[at - 1 - j]] * self.weight[j]
         return out
 
-    def log_probabilities(self, sequence: np.ndarray, at: np.ndarray, step: int = 1024) -> np.ndarray:
-        """Normalised natural log-probabilities of the classes at the positions `at` of a padded sequence."""
+    def log_probabilities(self, sequence: np.ndarray, at: np.ndarray, own: np.ndarray, word: np.ndarray, step: int = 1024) -> np.ndarray:
+        """Natural log-probabilities, at the places `at`, of the classes `own` times those of the words `word` in them (-1: of the class alone)."""
+        hidden = np.empty((len(at), WIDTH), np.float32)
         out = np.zeros(len(at))
         for a in range(0, len(at), step):  # steps whose scores stay in the processor's cache
-            here = at[a : a + step]
-            scores = self.predicted(sequence, here) @ self.target.T
+            hidden[a : a + step] = self.predicted(sequence, at[a : a + step])
+            scores = hidden[a : a + step] @ self.target.T
             scores += self.bias
-            own = scores[np.arange(len(here)), sequence[here]]
-            top = scores.max()
-            if top > 60 or scores.min() < -60:  # beyond what sums of single-precision exponentials hold
-                scores = scores.astype(np.float64) - scores.max(1, keepdims=True)
-                own = scores[np.arange(len(here)), sequence[here]]
-            out[a : a + step] = own - np.log(np.exp(scores, out=scores).sum(1))
+            out[a : a + step] = _log_share(scores, own[a : a + step])
+        grouped = np.flatnonzero(word >= self.head)
+        by = grouped[np.argsort(own[grouped], kind="stable")]
+        edge = np.flatnonzero(np.concatenate([[True], np.diff(own[by]) != 0, [True]])) if len(by) else np.zeros(1, np.int64)
+        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
+            g = int(own[by[a]]) - self.head
+            first, past = int(self.borders[g]), int(self.borders[g + 1])
+            for c in range(a, b, 4 * step):
+                rows = by[c : min(c + 4 * step, b)]
+                scores = hidden[rows] @ self.word[first:past].T
+                scores += self.word_bias[first:past]
+                out[rows] += _log_share(scores, word[rows] - first)
         return out
 
-    def train(self, sequence: np.ndarray, at: np.ndarray, rng: np.random.Generator, state: dict, rate: float = 0.08, noise: int = 32, step: int = 4096) -> None:
-        """Noise-contrastive estimation by Adagrad; each step's positions share their noise draws."""
-        if not state:
-            state.update({k: np.full(getattr(self, k).shape, 1e-3) for k in ("vector", "weight", "target", "bias")})
+    def train(self, sequence: np.ndarray, at: np.ndarray, own: np.ndarray, word: np.ndarray, rng: np.random.Generator, rate: float = 0.08, noise: int = 32, within: int = 2, step: int = 8192) -> None:
+        """Noise-contrastive estimation by Adagrad; a step's places share the noise drawn for classes, and draw their own in their groups."""
         order = rng.permutation(len(at))
         log_noise = np.log(noise * self.shares).astype(np.float32)
-        columns = np.arange(WIDTH)
+        log_within = np.log(within * np.maximum(self.within, 1e-9)).astype(np.float32)
+        # words of a group in the order of their shares' sums, each group a unit after the one before
+        total = np.cumsum(self.within)
+        upto = total - np.concatenate([[0], total])[(self.borders[:-1] - self.head)[self.group]] + self.group if len(self.group) else total
         for a in range(0, len(order), step):
-            here = at[order[a : a + step]]
-            own, drawn = sequence[here], rng.choice(len(self.shares), noise, p=self.shares)
-            before = [sequence[here - 1 - j] for j in range(CONTEXT)]
-            vectors = [self.vector[b] for b in before]
-            hidden = sum(v * w for v, w in zip(vectors, self.weight))
-            true = np.einsum("ij,ij->i", hidden, self.target[own]) + self.bias[own] - log_noise[own]
+            pick = order[a : a + step]
+            here, cls = at[pick], own[pick]
+            drawn = rng.choice(len(self.shares), noise, p=self.shares)
+            before = np.stack([sequence[here - 1 - j] for j in range(CONTEXT)])
+            vectors = self.vector[before]
+            hidden = np.einsum("cij,cj->ij", vectors, self.weight)
+            true = np.einsum("ij,ij->i", hidden, self.target[cls]) + self.bias[cls] - log_noise[cls]
             false = hidden @ self.target[drawn].T + self.bias[drawn] - log_noise[drawn]
-            d_true = 1 / (1 + np.exp(-np.clip(true, -30, 30))) - 1  # the gradients of the loss
-            d_false = 1 / (1 + np.exp(-np.clip(false, -30, 30)))
-            d_hidden = d_true[:, None] * self.target[own] + d_false @ self.target[drawn]
+            d_true, d_false = _sigmoid(true) - 1, _sigmoid(false)  # the gradients of the loss
+            d_hidden = d_true[:, None] * self.target[cls] + d_false @ self.target[drawn]
             n = len(here)
-
-            def summed(index, values, size):
-                flat = (index[:, None] * WIDTH + columns).ravel()
-                return np.bincount(flat, values.ravel(), size * WIDTH).reshape(size, WIDTH) / n
-
-            target = summed(own, d_true[:, None] * hidden, len(self.shares))
-            np.add.at(target, drawn, d_false.T @ hidden / n)
-            bias = np.bincount(own, d_true, len(self.shares)) / n
-            np.add.at(bias, drawn, d_false.sum(0) / n)
-            vector = sum(summed(b, d_hidden * w, len(self.vector)) for b, w in zip(before, self.weight))
-            weight = np.stack([np.einsum("ij,ij->j", d_hidden, v) / n for v in vectors])
-            for name, gradient in (("vector", vector), ("weight", weight), ("target", target), ("bias", bias)):
-                state[name] += gradient**2
-                getattr(self, name)[...] -= (rate * gradient / np.sqrt(state[name])).astype(np.float32)
-
-
-def sequences(texts: list[list[bytes]], words: Words, classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The tokens' codes, laid end to end; their classes in one array, each text after CONTEXT starting marks; and the tokens' places in that."""
-    codes = np.fromiter(map(words.__getitem__, chain.from_iterable(texts)), np.int64, sum(map(len, texts)))
-    at = np.arange(len(codes)) + CONTEXT * np.repeat(np.arange(1, len(texts) + 1), [len(t) for t in texts])
-    sequence = np.full(len(codes) + CONTEXT * len(texts), classes)
-    sequence[at] = words.classes[codes]
-    return codes, sequence, at
-
-
-def train(docs: DataFrame, counts: Counts, id_col: str = "doc_id", text_col: str = "text", seed: int = 11) -> LogBilinear:
+            class_rows, class_values = np.concatenate([cls, drawn]), np.concatenate([d_true[:, None] * hidden, d_false.T @ hidden])
+            class_bias = np.concatenate([d_true, d_false.sum(0)])
+            m = np.flatnonzero(word[pick] >= self.head)
+            if len(m):
+                w, h = word[pick][m], hidden[m]
+                u = self.group[w - self.head][:, None] + rng.random((len(m), within))
+                lies = np.searchsorted(upto, u, "right")
+                others = self.head + np.clip(lies, (self.borders[:-1] - self.head)[self.group[w - self.head]][:, None], (self.borders[1:] - self.head - 1)[self.group[w - self.head]][:, None])
+                true2 = np.einsum("ij,ij->i", h, self.word[w]) + self.word_bias[w] - log_within[w - self.head]
+                noisy = self.word[others]
+                false2 = np.einsum("ij,ikj->ik", h, noisy) + self.word_bias[others] - log_within[others - self.head]
+                d_true2, d_false2 = _sigmoid(true2) - 1, _sigmoid(false2)
+                d_hidden[m] += d_true2[:, None] * self.word[w] + np.einsum("ik,ikj->ij", d_false2, noisy)
+                rows = np.concatenate([w, others.ravel()])
+                self._update("word", rows, np.concatenate([d_true2[:, None] * h, (d_false2[:, :, None] * h[:, None, :]).reshape(-1, WIDTH)]), n, rate)
+                self._update("word_bias", rows, np.concatenate([d_true2, d_false2.ravel()]), n, rate)
+            weight = np.einsum("ij,cij->cj", d_hidden, vectors)
+            self._update("vector", before.ravel(), (d_hidden[None] * self.weight[:, None, :]).reshape(-1, WIDTH), n, rate)
+            self._update("target", class_rows, class_values, n, rate)
+            self._update("bias", class_rows, class_bias, n, rate)
+            self._update("weight", np.arange(CONTEXT), weight, n, rate)
+
+    def _update(self, name: str, rows: np.ndarray, values: np.ndarray, n: int, rate: float) -> None:
+        x, state = getattr(self, name), self.state[name]
+        wide = x.ndim == 2
+        touched = np.flatnonzero(np.bincount(rows, minlength=len(x)))
+        if wide:
+            total = np.stack([np.bincount(rows, column, len(x))[touched] for column in np.ascontiguousarray(values.T)], 1)
+        else:
+            total = np.bincount(rows, values, len(x))[touched]
+        gradient = (total / n).astype(np.float32)
+        state[touched] += gradient**2
+        x[touched] -= rate * gradient / np.sqrt(state[touched])
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
+def _log_share(scores: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Log-softmax of each row, at one column; changes scores."""
+    own = scores[np.arange(len(scores)), which]
+    if not len(scores):
+        return own
+    if scores.max() > 60 or scores.min() < -60:  # beyond what sums of single-precision exponentials hold
+        scores = scores.astype(np.float64) - scores.max(1, keepdims=True)
+        own = scores[np.arange(len(scores)), which]
+    return own - np.log(np.exp(scores, out=scores).sum(1))
+
+
+def train(docs: DataFrame, counts: Counts, id_col: str = "doc_id", text_col: str = "text", seed: int = 11, rounds: int = ROUNDS, shard_tokens: int = SHARD_TOKENS) -> LogBilinear:
     """A model learned from all rows of docs."""
-    model = LogBilinear(counts.class_shares())
-    n = max(1, docs.count())
-    chosen = F.pmod(F.xxhash64(F.col(id_col).cast("string"), text_col), F.lit(n)) < WARM_DOCUMENTS
-    sample = docs.where(chosen & (F.length(text_col) <= WARM_LENGTH)).select(F.col(text_col).alias("t")).limit(2 * WARM_DOCUMENTS).collect()
-    sample = sorted(r.t for r in sample)
-    rng, state, words = np.random.default_rng(seed), {}, Words(counts)
-    _, sequence, at = sequences([_tokens(t) for t in sample], words, counts.classes)
-    for _ in range(2):
-        model.train(sequence, at, rng, state, step=1024)
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((model, state, counts))
-
-    def learn(batches):
-        own, start, counts = shared.value
-        mine, classes = LogBilinear(own.shares), len(own.shares)
-        mine.load(own.flat())
-        state, words, seen = {k: v.copy() for k, v in start.items()}, Words(counts), 0
-        rng = np.random.default_rng([seed, TaskContext.get().partitionId()])
-        for batch in batches:
-            for part in pieces(batch, text_col):
-                _, sequence, at = sequences([_tokens(t) for t in part.column(0).to_pylist()], words, classes)
-                words.trim()
-                mine.train(sequence, at, rng, state)
-                seen += len(at)
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([mine.flat() * seen], pa.list_(pa.float64())), pa.array([float(seen)])], ["parameters", "seen"])
-
-    learned = docs.select(text_col).mapInArrow(learn, "parameters array<double>, seen double")
-    sums = learned.select(F.posexplode(F.concat("parameters", F.array("seen"))).alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect()
-    sums = np.array([r.x for r in sorted(sums, key=lambda r: r.i)])
-    if len(sums):
-        model.load(sums[:-1] / sums[-1])
+    model, words_of = LogBilinear(counts), spark.sparkContext.broadcast(counts)
+    shards = max(1, -(-counts.tokens // shard_tokens))
+
+    def code(part: pa.RecordBatch, words: Words) -> pa.RecordBatch:
+        texts = [_tokens(t) for t in part.column(2).to_pylist()]
+        border = np.cumsum([0, *map(len, texts)])
+        codes = np.fromiter(map(words.__getitem__, chain.from_iterable(texts)), np.int32, border[-1])
+        words.trim()
+        # words beyond the vocabulary are their buckets: all that training tells of them
+        own = np.where(codes < len(words_of.value.vocabulary), codes, words.classes[codes] + len(words.frequent)).astype(np.int32)
+        return pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(border, pa.int32()), pa.array(own))], ["shard", "h", "codes"])
+
+    h = F.xxhash64(F.col(quoted(id_col)).cast("string"), F.col(quoted(text_col)))
+    slim = docs.select(F.pmod(F.xxhash64(h), F.lit(shards)).cast("int").alias("shard"), h.alias("h"), F.col(quoted(text_col)).alias("text"))
+    coded = map_texts(slim, code, "shard int, h long, codes array<int>", setup=lambda: Words(words_of.value))
+    share = max(1, -(-counts.n.get(END, 1) // WARM_DOCUMENTS))  # END stands once in each document
+    sample = map_texts(slim.where(F.pmod("h", F.lit(share)) == 0), code, "shard int, h long, codes array<int>", setup=lambda: Words(words_of.value))
+    sample = sample.where(F.size("codes") <= WARM_LENGTH).groupBy("h").agg(F.min("codes").alias("codes")).orderBy("h").limit(2 * WARM_DOCUMENTS).collect()
+    if sample:
+        texts = [np.array(r.codes) for r in sample]
+        for k in range(2):
+            _learn(model, counts, texts, np.random.default_rng([seed, k]), 2048)
+
+    for k in range(rounds):
+        shared = spark.sparkContext.broadcast(model)
+
+        def learn(batches, k=k, shared=shared):
+            mine, at, held, size, seen, block = None, None, [], 0, 0, 0
+
+            def flush():
+                nonlocal held, size, block
+                if held:
+                    _learn(mine, words_of.value, held, np.random.default_rng([seed, 100 + k, at, block]))
+                held, size, block = [], 0, block + 1
+
+            def given():
+                flush()
+                flat = mine.flat()
+                parts = np.split(flat, range(4096, len(flat), 4096))
+                own = [pa.array(np.full(len(parts), x)) for x in (at, seen)]
+                return pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts))), *own, pa.array(parts, pa.list_(pa.float32()))], ["part", "shard", "seen", "x"])
+
+            for batch in batches:
+                shard, lists = np.asarray(batch.column(0)), batch.column(2)
+                border, flat = np.asarray(lists.offsets), np.asarray(lists.values)
+                for i, s in enumerate(shard.tolist()):
+                    if s != at:
+                        if mine is not None:
+                            yield given()
+                        mine, at, seen, block = _copy(shared.value), s, 0, 0
+                    codes = flat[border[i] : border[i + 1]]
+                    held.append(codes)
+                    size += len(codes)
+                    seen += len(codes)
+                    if size >= _BLOCK:
+                        flush()
+            if mine is not None:
+                yield given()
+
+        mine = coded.where(F.col("shard") % rounds == k).repartition("shard").sortWithinPartitions("shard", "h")
+        learned = mine.mapInArrow(learn, "part long, shard long, seen long, x array<float>")
+        means = learned.repartition("part").sortWithinPartitions("part", "shard").mapInArrow(_averaged, "part long, x array<double>").collect()  # one model
+        if means:
+            model.load(np.concatenate([np.array(r.x) for r in sorted(means, key=lambda r: r.part)]))
     return model
 
 
-def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", max_broadcast: int = MAX_BROADCAST) -> DataFrame:
-    """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10); learning from rows that are not held out."""
+def _copy(model: LogBilinear) -> LogBilinear:
+    out = object.__new__(LogBilinear)
+    out.__dict__.update(model.__dict__)
+    for k in LogBilinear.NAMES:
+        setattr(out, k, getattr(model, k).copy())
+    out.state = {k: v.copy() for k, v in model.state.items()}
+    return out
+
+
+def _learn(model: LogBilinear, counts: Counts, texts: list[np.ndarray], rng: np.random.Generator, step: int = 8192) -> None:
+    """A step or more over texts of codes as training has them: vocabulary numbers, or classes of buckets after all frequent words."""
+    v, frequent = len(counts.vocabulary), len(set(counts.n) | {END})
+    codes = np.concatenate(texts).astype(np.int64)
+    inside = codes < v
+    classes = np.concatenate([np.arange(counts.head), counts.head + counts.group]).astype(np.int64)
+    own = np.where(inside, classes[np.minimum(codes, v - 1)], codes - frequent)
+    context = np.where(inside, codes, v + own - (counts.classes - BUCKETS))
+    sequence, at = sequences(np.arange(len(codes)), np.cumsum([0, *map(len, texts)]), context, model.start)
+    model.train(sequence, at, own, np.where(inside, codes, -1), rng, step=step)
+
+
+def _averaged(batches):
+    """Means of the arrays of each part, by tokens seen; summed in the order of the shards."""
+
+    def given():
+        return pa.RecordBatch.from_arrays([pa.array([part]), pa.array([total / weight], pa.list_(pa.float64()))], ["part", "x"])
+
+    part, total, weight = None, 0.0, 0
+    for batch in batches:
+        lists = batch.column(3)
+        border, flat = np.asarray(lists.offsets), np.asarray(lists.values)
+        for i, (p, seen) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())):
+            if p != part:
+                if part is not None:
+                    yield given()
+                part, total, weight = p, 0.0, 0
+            total = total + flat[border[i] : border[i + 1]].astype(np.float64) * seen
+            weight += seen
+    if part is not None:
+        yield given()
+
+
+def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", max_broadcast: int = MAX_BROADCAST, vocabulary: int = VOCABULARY, **more) -> DataFrame:
+    """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10); learning from rows that are not held out. more: of train()."""
     training = docs.where(~held_out)
     table = stored(count_tokens(training, text_col))
-    counts = Counts(table, max_broadcast)
-    model = train(training, counts, id_col, text_col)
+    counts = Counts(table, max_broadcast, vocabulary)
+    model = train(training, counts, id_col, text_col, **more)
+    model.state = {}
     shared = docs.sparkSession.sparkContext.broadcast((counts, model))
-    schema = f"row long, id {docs.schema[id_col].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, known double, classes double, rest array<struct<token:binary,times:int>>"
+    schema = f"row long, id {docs.schema[id_col].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, known double, modelled double, rest array<struct<token:binary,times:int>>"
 
     def run(batches):
         counts, model = shared.value
         task, done, words = TaskContext.get().partitionId(), 0, Words(counts)
-        # log10 of what a word's smoothed count is divided by within its class; a word that is its class has all of it
-        own_class = np.full(HEAD + 1, np.log10(0.1))
-        own_class[: len(counts.head)] = words.logs[: len(counts.head)]
-        divide = np.concatenate([own_class, np.log10(counts.bucket[:, 0] + 0.1 * (counts.bucket[:, 1] + 1))])
-        frequent = len(words.frequent)
+        v, frequent = len(counts.vocabulary), len(words.frequent)
+        # what the sums of logs of counts have too much: all of it for the vocabulary, else what a count is divided by within its bucket
+        divide = np.log10(np.maximum(counts.bucket[:, 0], 0) + 0.1 * (np.maximum(counts.bucket[:, 1], 0) + 1))
+        less = np.concatenate([words.logs[:v], divide[words.context[v:] - v]])
         for batch in batches:
-            for part in pieces(batch, text_col):
+            for part in pieces(batch, "text"):
                 texts = [_tokens(t) for t in part.column(2).to_pylist()]
-                codes, sequence, at = sequences(texts, words, counts.classes)
+                border = np.cumsum([0, *map(len, texts)])
+                codes = np.fromiter(map(words.__getitem__, chain.from_iterable(texts)), np.int64, border[-1])
                 words.trim()
-                logp = model.log_probabilities(sequence, at) / np.log(10) - divide[sequence[at]]
-                border = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+                sequence, at = sequences(codes, border, words.context, model.start)
+                logp = model.log_probabilities(sequence, at, words.classes[codes], np.where(codes < v, codes, -1)) / np.log(10) - less[codes]
                 held = (codes < frequent) & (words.logs[codes] > np.log10(0.5))  # END may have no count
-                logs = np.where(held | counts.whole, words.logs[codes], 0.0)
-                by_class, known, n_known = (np.add.reduceat(x, border[:-1]) for x in (logp, logs, held.astype(np.int64)))
+                inside = codes < v
+                logs = np.where(held | inside | counts.whole, words.logs[codes], 0.0)
+                modelled, known, n_known = (np.add.reduceat(x, border[:-1]) for x in (logp, logs, held.astype(np.int64)))
                 rest = [[] for _ in texts]
                 if not counts.whole:
-                    missing = np.flatnonzero(~held)
+                    missing = np.flatnonzero(~held & ~inside)
                     for d, (i, j) in enumerate(zip(*np.searchsorted(missing, [border[:-1], border[1:]]).tolist())):
                         rest[d] = [{"token": t, "times": k} for t, k in Counter(texts[d][m] for m in (missing[i:j] - border[d]).tolist()).items()]
                 n = part.num_rows
@@ -299,19 +466,22 @@ def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", t
                         pa.array(np.diff(border)),
                         pa.array(n_known, pa.int64()),
                         pa.array(known, pa.float64()),
-                        pa.array(by_class),
+                        pa.array(modelled),
                         pa.array(rest, pa.list_(pa.struct([("token", pa.binary()), ("times", pa.int32())]))),
                     ],
-                    ["row", "id", "held_out", "n_tokens", "n_known", "known", "classes", "rest"],
+                    ["row", "id", "held_out", "n_tokens", "n_known", "known", "modelled", "rest"],
                 )
                 done += n
 
-    scored = stored(docs.select(F.col(id_col).alias("id"), held_out.alias("held_out"), F.col(text_col).alias(text_col)).mapInArrow(run, schema))
+    scored = docs.select(F.col(quoted(id_col)).alias("id"), held_out.alias("held_out"), F.col(quoted(text_col)).alias("text")).mapInArrow(run, schema)
     if counts.whole:
         drop_stored(table)
         full = scored.withColumns({"more": F.lit(0.0), "more_known": F.lit(0).cast("long")})
     else:
-        rare = scored.select("row", F.explode("rest").alias("w")).select("row", "w.token", "w.times").join(table.where(F.col("n") < counts.least) if counts.least is not None else table, "token", "left")
+        scored = stored(scored)
+        # words beyond MAX_WORD are not broadcast, whatever their counts
+        others = table.where((F.col("n") < counts.least) | (F.octet_length("token") > MAX_WORD)) if counts.least is not None else table
+        rare = scored.select("row", F.explode("rest").alias("w")).select("row", "w.token", "w.times").join(others, "token", "left")
         rare = rare.groupBy("row").agg(F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.1))).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).cast("long").alias("more_known"))
         full = scored.drop("rest").join(rare, "row", "left").fillna({"more": 0.0, "more_known": 0})
     whole = float(np.log10(counts.tokens + 0.1 * (counts.types + 1)))
@@ -322,5 +492,5 @@ def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", t
         (F.col("n_known") + F.col("more_known")).alias("n_known"),
         F.lit(counts.tokens).cast("long").alias("train_tokens"),
         (F.col("known") + F.col("more") - F.col("n_tokens") * F.lit(whole)).alias("base_score"),
-        (F.col("classes") + F.col("known") + F.col("more")).alias("score"),
+        (F.col("modelled") + F.col("known") + F.col("more")).alias("score"),
     )

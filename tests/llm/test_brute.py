@@ -194,10 +194,54 @@ def test_rules(spark):
 def test_isolation():
     rng = np.random.default_rng(1)
     usual = np.stack([rng.normal(0.2, 0.02, 600), np.zeros(600)], 1)
-    forest = rules.IsolationForest(usual, np.zeros(2), np.ones(2), trees=100)
-    odd = forest.scores(np.array([[0.2, 0.5], [0.9, 0.0], [0.9, 0.9]]))
-    assert odd.min() > np.quantile(forest.scores(usual), 0.99)
-    assert rules.calibrate(np.array([0.1, 0.2, 0.9]), np.array([True, True, False]), 0.0) == pytest.approx(0.55)
+    forest = rules.IsolationForest(usual, np.zeros(2), np.ones(2), trees=40)
+    points = np.array([[0.2, 0.5], [0.9, 0.0], [0.9, 0.9], [0.2, 0.0]])
+    odd, top = forest.scores(points), np.quantile(forest.scores(usual), 0.99, axis=0)
+    assert (odd > top).tolist() == [[False, True], [True, False], [True, True], [False, False]]
+
+    def path(c, t, x, node=0, depth=0):
+        """Splits down to a leaf, walked one by one."""
+        v = forest.value[c, t, node]
+        if depth == forest.depth or v == np.inf:
+            return forest.path[c, t, node]
+        return path(c, t, x, 2 * node + 1 + (x >= v), depth + 1)
+
+    for i, point in enumerate(points):
+        for c in range(2):
+            mean = np.mean([path(c, t, point[c]) for t in range(40)])
+            assert odd[i, c] == pytest.approx(2 ** (-mean / forest.norm))
+    good = np.array([True, True, False])
+    assert rules.calibrate(np.array([0.1, 0.2, 0.9]), good, 0.0) == pytest.approx(0.55)
+    assert rules.calibrate(np.array([0.1, 0.2, 0.15]), good, 0.0, 0.8) == pytest.approx(0.5)
+
+
+def test_base_rules(texts):
+    """base_failed by its words: fewer than 50 words, or more than half of them in windows found twice."""
+    sample = [*texts.values(), "a " * 49, "a b c d " * 20, " ".join(map(str, range(50))), " ".join(map(str, range(49)))]
+    counts, _ = textstats.stats(pa.array(sample, pa.string()))
+    for (n, _, _, _, repeats_), failed in zip(counts.tolist(), rules.base_failed(counts)):
+        assert failed == (n < 50 or 100 * repeats_ > 50 * n)
+    assert rules.base_failed(counts)[-4:].tolist() == [True, True, False, True]
+
+
+def test_odd_in_one_statistic(spark):
+    """Documents like the good ones but in one statistic go: repeated lines, digits, long words, symbols."""
+    rng = random.Random(9)
+    stock = ["".join(rng.choice("aeiourstnlmd") for _ in range(rng.randint(2, 9))) for _ in range(300)]
+    line = lambda n=10: " ".join(rng.choice(stock) for _ in range(n)).capitalize() + "."
+    good = {i: "\n".join(line() for _ in range(rng.randint(8, 30))) for i in range(400)}
+    again = line(5)
+    odd = {
+        1000: "\n".join(x for _ in range(7) for x in (line(15), again)),
+        1001: " ".join(str(rng.randrange(10**6)) for _ in range(90)),
+        1002: " ".join("".join(rng.choice(stock) for _ in range(40)) for _ in range(90)),
+        1003: "\n".join(line() + " # | $ %" for _ in range(12)),
+    }
+    docs = spark.createDataFrame([*good.items(), *odd.items()], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(300)], "doc_id long, quality int")
+    rows = {r.doc_id: r for r in rules.judge(docs, labels).collect()}
+    assert not any(rows[i].base_failed for i in odd) and not any(rows[i].kept for i in odd)
+    assert sum(rows[i].kept for i in good) >= 398
 
 
 @pytest.mark.parametrize("name, column, least", [("op1_language_id", "lang", 0.95), ("op6_quality_ranking", "quality", 0.95)])
@@ -216,25 +260,82 @@ def test_lm(spark, texts):
     tokens = {i: [*re.findall(r"[^\x20\x09-\x0D]+", _lower(t)), None] for i, t in texts.items()}
     counts = Counter(x for i, t in tokens.items() if i not in held for x in t)
     total, types = sum(counts.values()), len(counts)
-    few = {r.doc_id: r for r in lm.score_documents(docs, fold(F.col("doc_id"), 10) == 0, max_broadcast=300).collect()}
+    few, many = ({r.doc_id: r for r in lm.score_documents(docs, fold(F.col("doc_id"), 10) == 0, max_broadcast=m, vocabulary=200).collect()} for m in (300, 10**6))
     for r in queries.op4_lm_scores(spark, SMALL).collect():
         own = tokens[r.doc_id]
         base = sum(math.log10((counts[x] + 0.1) / (total + 0.1 * (types + 1))) for x in own)
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (r.doc_id in held, len(own), sum(counts[x] > 0 for x in own), total)
         assert r.base_score == pytest.approx(base) and few[r.doc_id].base_score == pytest.approx(base) and few[r.doc_id].n_known == r.n_known
-        assert few[r.doc_id].score == pytest.approx(r.score, rel=1e-6)
-
-
-def test_lm_probabilities_sum_to_one():
-    model = lm.LogBilinear(np.full(5, 0.2))
-    sequence = np.array([5, 5, 5, 5, 1, 2, 0])
-    total = 0.0
-    for word in range(5):
-        sequence[6] = word
-        total += math.exp(model.log_probabilities(sequence, np.array([6]))[0])
-    assert total == pytest.approx(1, rel=1e-5)
-    model.bias += np.array([200, 0, 0, 0, 0], np.float32)
-    assert np.isfinite(model.log_probabilities(sequence, np.array([6]))).all()
+        assert few[r.doc_id].score == pytest.approx(many[r.doc_id].score, rel=1e-6)
+
+
+@pytest.fixture(scope="module")
+def small_model(spark, texts):
+    """A model with groups, words beyond the vocabulary and words that are not broadcast."""
+    whole, lm.GROUP = lm.GROUP, 20
+    docs = spark.createDataFrame(sorted(texts.items())[:40], "doc_id long, text string")
+    table = lm.count_tokens(docs)
+    counts = lm.Counts(table, 1500, 400)
+    model = lm.train(docs, counts, shard_tokens=4000)
+    lm.GROUP = whole
+    return {bytes(r.token): r.n for r in table.collect()}, counts, model
+
+
+def _plain_logs(n, counts, model, context, word):
+    """log p(word | context) by plain loops; context: the words before, latest first, None before the start."""
+    v = {w: i for i, w in enumerate(counts.vocabulary)}
+    groups = len(counts.borders) - 1
+    place = lambda w: len(v) + lm.BUCKETS if w is None else v.get(w, len(v) + lm.bucket_of(w))
+    hidden = sum(model.vector[place(w)].astype(float) * model.weight[j] for j, w in enumerate(context))
+    scores = [float(hidden @ t) + float(b) for t, b in zip(model.target, model.bias)]
+    share = lambda values, i: values[i] - math.log(sum(map(math.exp, values)))
+    if word not in v:
+        b = lm.bucket_of(word)
+        own = [c for w, c in n.items() if w not in v and lm.bucket_of(w) == b]
+        return share(scores, counts.head + groups + b) + math.log((n.get(word, 0) + 0.1) / (sum(own) + 0.1 * (len(own) + 1)))
+    if v[word] < counts.head:
+        return share(scores, v[word])
+    g = next(g for g in range(groups) if v[word] < counts.borders[g + 1])
+    inside = range(counts.borders[g], counts.borders[g + 1])
+    return share(scores, counts.head + g) + share([float(hidden @ model.word[i]) + float(model.word_bias[i]) for i in inside], inside.index(v[word]))
+
+
+def test_lm_probabilities_sum_to_one(small_model):
+    n, counts, model = small_model
+    assert len(n) > 1500 > 401 == len(counts.vocabulary) and len(counts.borders) > 10
+    unseen = {}
+    while len(unseen) < lm.BUCKETS:
+        word = b"never-%d" % random.randrange(10**9)
+        unseen[lm.bucket_of(word)] = word
+    for context in ([None] * 4, [counts.vocabulary[3], counts.vocabulary[300], b"never", None]):
+        logs = [_plain_logs(n, counts, model, context, w) for w in [*n, *unseen.values()]]
+        assert sum(map(math.exp, logs)) == pytest.approx(1, rel=1e-4)
+
+
+def test_lm_scores_by_plain_loops(spark, small_model):
+    n, counts, model = small_model
+    words = lm.Words(counts)
+    text = b" ".join([*counts.vocabulary[1:6], *counts.vocabulary[200:260:7], b"never-seen", *list(n)[-5:], counts.vocabulary[2]])
+    tokens = [*text.split(), lm.END]
+    codes = np.array([words[w] for w in tokens])
+    sequence, at = lm.sequences(codes, np.array([0, len(codes)]), words.context, model.start)
+    got = model.log_probabilities(sequence, at, words.classes[codes], np.where(codes < 401, codes, -1))
+    for i, w in enumerate(tokens):
+        context = [tokens[i - 1 - j] if i > j else None for j in range(lm.CONTEXT)]
+        own = _plain_logs(n, counts, model, context, w)
+        if w not in counts.vocabulary:
+            b = lm.bucket_of(w)
+            own -= math.log((n.get(w, 0) + 0.1) / (counts.bucket[b, 0] + 0.1 * (counts.bucket[b, 1] + 1)))
+        assert got[i] == pytest.approx(own, abs=1e-4)
+
+
+def test_lm_does_not_depend_on_partitions(spark, texts):
+    docs = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
+    scores = []
+    for n in (1, 5, 16):
+        rows = lm.score_documents(docs.repartition(n), fold(F.col("doc_id"), 10) == 0, shard_tokens=10_000).collect()
+        scores.append([x for _, x in sorted((r.doc_id, r.score) for r in rows)])
+    assert scores[0] == pytest.approx(scores[1], rel=1e-6) and scores[0] == pytest.approx(scores[2], rel=1e-6)
 
 
 def test_lm_learns(spark):
