@@ -13,7 +13,7 @@ in shards small enough for that, and what is found is confirmed by the whole set
  4. Of the pairs found a task hands on a spanning forest, the nearest first; these are
     confirmed by the Jaccard similarity of the whole sets. Where some are refused, the next
     round hands on other pairs between the components that are left, and for each text
-    four times as many as in the round before, until there are none.
+    eight times as many as in the round before, until there are none.
 
 A shard beyond max_shard members is split by further least hashes. What is still too
 large is held by texts alike in many of them: all its members are tried against the
@@ -146,11 +146,16 @@ def alike(n: np.ndarray, m: np.ndarray, p: int, q: int) -> np.ndarray:
     return p * np.maximum(n, m) <= q * np.minimum(n, m)
 
 
-def candidates(group: np.ndarray, name: np.ndarray, n: np.ndarray, fp: np.ndarray, root: np.ndarray, passive: np.ndarray, refused: list, p: int, q: int, radius: int, more: int = 0) -> np.ndarray:
+def pair_names(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix(a.view(np.uint64) ^ mix(b.view(np.uint64)))
+
+
+def candidates(group: np.ndarray, name: np.ndarray, n: np.ndarray, fp: np.ndarray, root: np.ndarray, passive: np.ndarray, refused: np.ndarray, p: int, q: int, radius: int, more: int = 0) -> np.ndarray:
     """Pairs of rows, of one group each, that may be links: nearest first, as many as join all the components that such
     pairs join, and beside them the `more` nearest of each row.
 
-    Rows are sorted by group and n. Two passive rows are in one component already and not compared.
+    Rows are sorted by group and n. Two passive rows are in one component already and not compared. refused: pair_names()
+    of pairs that are none, ascending.
     """
     _, label = np.unique(root, return_inverse=True)
     value = fp.view(np.uint64)
@@ -160,9 +165,6 @@ def candidates(group: np.ndarray, name: np.ndarray, n: np.ndarray, fp: np.ndarra
     first = np.flatnonzero(heads)  # in `by`: the rows of each tree value
     many = np.diff(np.append(first, len(by)))
     trees = BKTrees(group[by][first], value[by][first])
-    names = name.view(np.uint64)
-    no = [mix(names[i] ^ mix(np.asarray(r, np.int64).view(np.uint64))) for i, r in enumerate(refused) if r is not None and len(r)]
-    no = np.concatenate(no) if no else None
     asks = np.flatnonzero(~passive)
     root_of = trees.root[np.searchsorted(group[by][first], group[asks])]
     held: list[np.ndarray] = []
@@ -187,8 +189,9 @@ def candidates(group: np.ndarray, name: np.ndarray, n: np.ndarray, fp: np.ndarra
         j = by[np.repeat(first[node] - (np.cumsum(k) - k), k) + np.arange(k.sum())]
         keep = ((i < j) | passive[j]) & (label[i] != label[j]) & alike(n[i], n[j], p, q)
         i, j = i[keep], j[keep]
-        if no is not None and len(i):
-            asked = np.isin(mix(names[i] ^ mix(names[j])), no)
+        if len(refused) and len(i):
+            own = pair_names(name[i], name[j])
+            asked = refused[np.minimum(np.searchsorted(refused, own), len(refused) - 1)] == own
             i, j = i[~asked], j[~asked]
         if len(i):
             held.append(np.stack([np.minimum(i, j), np.maximum(i, j)], 1))
@@ -253,7 +256,9 @@ def links(docs: DataFrame, sets: DataFrame, p: int, q: int, shingle: int, radius
         use = np.flatnonzero(mixed[group])
         if not len(use):
             return
-        refused = [batch.column(6)[i].values.to_numpy() if batch.column(6)[i].is_valid else None for i in use.tolist()] if batch.column(6).null_count < len(batch.column(6)) else []
+        lists = batch.column(6).fill_null(pa.scalar([], pa.list_(pa.int64()))) if batch.column(6).null_count else batch.column(6)
+        each = np.diff(np.asarray(lists.offsets))
+        refused = np.unique(pair_names(np.repeat(name, each), np.asarray(lists.flatten())))
         found = candidates(group[use], name[use], n[use], fp[use], root[use], passive[use], refused, p, q, radius, more)
         if len(found):
             x, y = name[use][found[:, 0]], name[use][found[:, 1]]
@@ -322,7 +327,7 @@ def links(docs: DataFrame, sets: DataFrame, p: int, q: int, shingle: int, radius
             edges = stored(edges)
             drop_stored(*made)
             return edges
-        more = max(4, 4 * more)  # so that few rounds ask for all that is left
+        more = max(8, 8 * more)  # so that few rounds ask for all that is left
 
 
 def _parts(hot: DataFrame, max_shard: int) -> DataFrame:
