@@ -1,7 +1,8 @@
 """Byte-level BPE: a minimal perfect hash for pre-tokens that are in the vocabulary, a heap over linked bytes for the rest.
 
-Cases: a null text counts as empty and has no ids; repeated rows are encoded each
-on its own; rows keep their number; other columns of the input are not read, so
+Cases: a null text counts as empty and has no ids; a very long text is encoded by one
+task, in time near its length; of equal pairs that could merge the leftmost does first;
+repeated rows are encoded each on its own; rows keep their number; other columns of the input are not read, so
 none can clash; an empty table gives an empty result.
 """
 
@@ -18,10 +19,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tessera.llm.common import BASE, map_texts, mix, span_hashes
+from tessera.llm.common import BASE, map_texts, mix, quoted, span_hashes
 
-#: Pre-tokens whose ids a worker remembers at most.
-REMEMBERED = 200_000
+#: Pre-tokens whose ids a worker remembers, at most, and characters of such a one; longer ones are encoded anew.
+REMEMBERED, MAX_REMEMBERED = 200_000, 64
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -141,9 +142,10 @@ class Codec:
     def _ready(self) -> None:
         self.split = regex.compile(self.pattern).findall
         self.known: dict[str, bytes] = {}
+        self.long: list[str] = []
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("split", "known")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("split", "known", "long")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
@@ -156,16 +158,22 @@ class Codec:
         raw = [p.encode() for p in new]
         for text, piece, slot in zip(new, raw, self.hash.slots(raw)):
             known[text] = self.slot_ids[slot] if slot >= 0 else np.array(merge_bytes(piece, self.ranks), "<u4").tobytes()
+            if len(text) > MAX_REMEMBERED:
+                self.long.append(text)
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        split = [self.split(t) for t in texts]
-        for pieces in split:
+        get, out = self.known.__getitem__, []
+        for text in texts:
+            pieces = self.split(text)
             self.learn(pieces)
-        get = self.known.__getitem__
-        return [b"".join(map(get, pieces)) for pieces in split]
+            out.append(b"".join(map(get, pieces)))
+            for piece in self.long:
+                del self.known[piece]
+            self.long.clear()
+        return out
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_batch([text])[0], "<u4").tolist()
@@ -178,7 +186,7 @@ def encode_documents(docs: DataFrame, codec: Codec, id_col: str = "doc_id", text
     """Per row: doc_id, n_tokens, ids_sha256, decoded_sha256 (of the ids decoded again), and where asked token_ids, the packed ids."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(codec)
-    schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids binary" * keep_ids
+    schema = f"{quoted(id_col)} {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids binary" * keep_ids
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
         own = shared.value
@@ -194,7 +202,7 @@ def encode_documents(docs: DataFrame, codec: Codec, id_col: str = "doc_id", text
             columns.append(pa.array(packed, pa.binary()))
         return pa.RecordBatch.from_arrays(columns, [id_col, "n_tokens", "ids_sha256", "decoded_sha256", "token_ids"][: len(columns)])
 
-    return map_texts(docs.select(id_col, text_col), work, schema, text_col)
+    return map_texts(docs.select(quoted(id_col), quoted(text_col)), work, schema, text_col)
 
 
 def decode_documents(encoded: DataFrame, codec: Codec, id_col: str = "doc_id", ids_col: str = "token_ids") -> DataFrame:
@@ -207,7 +215,7 @@ def decode_documents(encoded: DataFrame, codec: Codec, id_col: str = "doc_id", i
         texts = [None if p is None else own.decode(np.frombuffer(p, "<u4").tolist()).decode("utf-8", "replace") for p in part.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], [id_col, "text"])
 
-    return map_texts(encoded.select(id_col, ids_col), work, f"{id_col} {encoded.schema[id_col].dataType.simpleString()}, text string", ids_col)
+    return map_texts(encoded.select(quoted(id_col), quoted(ids_col)), work, f"{quoted(id_col)} {encoded.schema[id_col].dataType.simpleString()}, text string", ids_col)
 
 
 def default_codec(path: str | None = None, pattern: str | None = None) -> Codec:

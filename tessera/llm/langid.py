@@ -8,7 +8,8 @@ for each language against the rest. A batch of texts is scored by matrix product
 presence bits times the landmarks' presence bits, then times the weights.
 
 Cases: a null text, or one without a letter, is `und` with score 0; rows with a null
-language or text are not learned from; equal scores go to the language that sorts
+language or text are not learned from, nor are texts over MAX_BYTES; a very long text is
+scored whole, as one step's work; an id that repeats counts once a language; equal scores go to the language that sorts
 first; with nothing to learn from all is `und`; repeated rows are scored each on its
 own and alike; an empty table gives an empty result; other columns are not read.
 """
@@ -20,11 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import LOWER_NP, map_texts, texts_of
+from tessera.llm.common import LOWER_NP, map_texts, quoted, texts_of
 
 #: Labelled texts of each language that are fitted on, and landmarks among them, at most.
 PER_LANGUAGE, LANDMARKS = 400, 48
 
+#: Languages, the most frequent ones, and over all of them texts, their bytes each and landmarks, at most: bounds the driver and what is broadcast.
+MAX_LANGUAGES, MAX_TEXTS, MAX_BYTES, MAX_LANDMARKS = 512, 20_000, 16_384, 768
+
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 _FOLD = np.where(_LETTER, np.arange(256), 0x20).astype(np.uint8)
@@ -85,7 +89,9 @@ class Model:
         self.langs = sorted(set(langs))
         if not self.langs:
             return
-        label = np.array([self.langs.index(x) for x in langs])
+        landmarks = max(1, min(landmarks, MAX_LANDMARKS // len(self.langs)))
+        number = {x: i for i, x in enumerate(self.langs)}
+        label = np.array([number[x] for x in langs])
         mark = np.concatenate([np.flatnonzero(label == c)[:landmarks] for c in range(len(self.langs))])
         low, at = folded(*texts_of(pa.array([texts[i] for i in mark], pa.string())))
         self.presence = Presence(low)
@@ -127,26 +133,30 @@ class Model:
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, landmarks: int = LANDMARKS) -> Model:
-    """A model from a bounded sample: for each language the rows of smallest hash of id."""
-    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("i"), F.col(lang_col).alias("l"))
-    rank = F.row_number().over(Window.partitionBy("l").orderBy(F.xxhash64("i"), "i"))
-    picked = rows.withColumn("r", rank).where(F.col("r") <= per_language).select("i", "l").distinct()
-    found = (
-        labelled.select(F.col(id_col).cast("string").alias("i"), F.col(lang_col).alias("l"), F.col(text_col).alias("t"))
-        .join(F.broadcast(picked), ["i", "l"])  # per_language rows of each language
-        .where("t is not null")
-    )
-    sample = sorted(((r.h, r.i, r.t, r.l) for r in found.select(F.xxhash64("i").alias("h"), "i", "t", "l").collect()))
+    """A model from a bounded sample: for each of the most frequent languages the texts of smallest hash of id, one for each id."""
+    text, lang = F.col(quoted(text_col)), F.col(quoted(lang_col))
+    rows = labelled.where(lang.isNotNull() & text.isNotNull()).select(F.col(quoted(id_col)).cast("string").alias("i"), lang.alias("l"), text.alias("t"))
+    rows = rows.where(F.octet_length("t") <= MAX_BYTES).withColumn("h", F.xxhash64("i", "l"))
+    sizes = rows.groupBy("l").agg(F.approx_count_distinct("h").alias("n")).orderBy(F.desc("n"), "l").limit(MAX_LANGUAGES).collect()
+    if not sizes:
+        return Model([], [], landmarks)
+    per_language = max(1, min(per_language, MAX_TEXTS // len(sizes)))
+    # few more than are wanted, by their hash alone; so no task sees all rows of a language, nor all that repeat an id
+    share = labelled.sparkSession.createDataFrame([(r.l, min(1.0, 4 * per_language / max(1, r.n))) for r in sizes], "l string, share double")
+    some = rows.join(F.broadcast(share), "l").where(F.shiftrightunsigned("h", 11) / F.lit(2.0**53) < F.col("share"))
+    some = some.groupBy("l", "i", "h").agg(F.min("t").alias("t"))
+    rank = F.row_number().over(Window.partitionBy("l").orderBy("h", F.col("i").asc_nulls_first()))
+    sample = sorted((r.h, r.i or "", r.t, r.l) for r in some.withColumn("r", rank).where(F.col("r") <= per_language).collect())
     return Model([x[2] for x in sample], [x[3] for x in sample], landmarks)
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, lang_pred, score (of the softmax over languages)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, lang_pred string, score double"
+    schema = f"{quoted(id_col)} {docs.schema[id_col].dataType.simpleString()}, lang_pred string, score double"
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
         langs, score = shared.value.predict(part.column(1))
         return pa.RecordBatch.from_arrays([part.column(0), pa.array(langs, pa.string()), pa.array(score)], [id_col, "lang_pred", "score"])
 
-    return map_texts(docs.select(id_col, text_col), work, schema, text_col)
+    return map_texts(docs.select(quoted(id_col), quoted(text_col)), work, schema, text_col)

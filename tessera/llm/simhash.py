@@ -1,6 +1,6 @@
 """SimHash near-duplicates: 64-bit fingerprints, linked through BK-trees, and connected components.
 
-Fingerprints are made equal first, so that copies cost nothing further. Each distinct
+Equal fingerprints are made one first, so that copies cost nothing further. Each distinct
 one is dealt to shards by blocks of its bits, so chosen that two within the radius
 share a shard (of r + c blocks at most r differ, so c agree). Each shard has a
 BK-tree: a node's children are keyed by their integer Hamming distance to it, and a
@@ -8,10 +8,12 @@ search follows only edges within the radius of its own distance to the node. Tre
 travel with their shard to one task; broadcasting all of them would put every
 fingerprint on the driver. Trees are bounded: a shard beyond max_tree members has
 several, and each task searches one of them for the members of one of them.
-Of the links found, each task returns a spanning forest, not all pairs.
+A shard beyond that is split by further bits before. Of the links found, each task returns
+a spanning forest, not all pairs.
 
 Cases: a null or empty text, or one without words, has the fingerprint zero, and
-zeros link like others; repeated rows share a fingerprint; a null id is smaller than
+zeros link like others; a very long text is one step's work; a bit set in exactly half the
+shingles is 0; repeated rows share a fingerprint; a null id is smaller than
 all others where the smallest id of a component is taken, but is returned as null;
 an empty table gives an empty result; other columns are kept by keep_first()
 whatever their names, and not read by components().
@@ -27,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import LOWER_NP, NULL_ID, SPACE, drop_stored, map_texts, stored, texts_of, word_spans
+from tessera.llm.common import LOWER_NP, NULL_ID, SPACE, columns_of, drop_stored, fresh, map_texts, quoted, stored, texts_of, word_spans
 
 ONES = np.uint64(0x0101010101010101)
 
@@ -165,13 +167,28 @@ def plan_blocks(n: int, radius: int, fill: int = 64) -> list[np.ndarray]:
     return shards
 
 
+def _cut_bits(mask: int, parts: int) -> list[int]:
+    """The set bits of a mask, in so many masks."""
+    bits = [1 << b for b in range(64) if mask >> b & 1]
+    edge = np.linspace(0, len(bits), parts + 1).astype(int)
+    return [sum(bits[a:b]) for a, b in zip(edge[:-1], edge[1:])]
+
+
 def link_values(values: DataFrame, radius: int = 4, max_tree: int = 8192) -> DataFrame:
     """values: distinct fingerprints, column fp. Edges (a, b), a > b as unsigned, whose components are those of all links within the radius."""
     n = values.count()
     masks = plan_blocks(n, radius)
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     shards = values.select("fp", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(m)).alias("v")) for k, m in enumerate(signed)])).alias("s")).select("fp", "s.k", "s.v")
-    # trees of a shard that is too large for one: part p of it; task (p, q) searches tree p for the members of q
+    # a shard that is too large is split by what two values within the radius must agree on of its other bits, too
+    over = stored(shards.groupBy("k", "v").count().where(F.col("count") > max_tree).select("k", "v"))
+    if not over.isEmpty():
+        inner = [m - (1 << 64) if m >> 63 else m for mask in masks for m in _cut_bits(~mask & (1 << 64) - 1, radius + 1)]
+        j = F.explode(F.sequence(F.lit(0), F.lit(radius)))
+        split = shards.join(over, ["k", "v"]).withColumn("j", j).withColumn("m", F.element_at(F.array(*map(F.lit, inner)), F.col("k") * (radius + 1) + F.col("j") + 1))
+        split = split.select("fp", (F.col("k") * (radius + 1) + F.col("j") + len(masks)).alias("k"), F.xxhash64("v", F.col("fp").bitwiseAND(F.col("m"))).alias("v"))
+        shards = shards.join(over, ["k", "v"], "left_anti").unionByName(split)
+    # trees of a shard that is too large for one even so: part p of it; task (p, q) searches tree p for the members of q
     sizes = shards.groupBy("k", "v").count().where(F.col("count") > max_tree).select("k", "v", F.ceil(F.col("count") / max_tree).cast("int").alias("parts"))
     dealt = shards.join(sizes, ["k", "v"], "left").withColumn("p", F.when(F.col("parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")))
     dealt = dealt.withColumn("other", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))))
@@ -291,25 +308,25 @@ def _roots(marked: DataFrame, radius: int) -> DataFrame:
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, shingle: int = 4) -> DataFrame:
     """Per row: doc_id, fingerprint (16 hex digits), component_id (the smallest id that links reach) and n_same (rows with this fingerprint)."""
-    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    slim = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text"))
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([part.column(0), pa.array(fingerprints(part.column(1), shingle).view(np.int64))], ["id", "fp"])
 
     marked = stored(map_texts(slim, work, f"id {docs.schema[id_col].dataType.simpleString()}, fp long"))
-    values = marked.groupBy("fp").agg(F.min(F.coalesce("id", F.lit(NULL_ID))).alias("least"), F.count("*").alias("n_same"))
+    values = marked.groupBy("fp").agg(F.min(F.struct(F.col("id").isNotNull().alias("known"), "id")).alias("least"), F.count("*").alias("n_same"))
     rooted = values.join(_roots(marked, radius), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     names = rooted.join(least, "root").select("fp", "component_id", "n_same")
     return marked.join(names, "fp").select(
-        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("component_id") != NULL_ID, F.col("component_id")).alias("component_id"), "n_same"
+        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component_id.id").alias("component_id"), "n_same"
     )
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, shingle: int = 5) -> DataFrame:
     """docs, its columns as they are, with one row of each component: that of its smallest id (any one of rows that repeat it)."""
-    own = docs.columns
-    slim = docs.select(F.coalesce(F.col(id_col), F.lit(NULL_ID)).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+    id_, text = F.coalesce(F.col(quoted(id_col)).cast("long"), F.lit(NULL_ID)), F.col(quoted(text_col))
+    slim = docs.select(id_.alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fingerprints(part.column(2), shingle).view(np.int64))], ["id", "th", "fp"])
@@ -317,6 +334,6 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     slim = stored(map_texts(slim, work, "id long, th long, fp long"))
     values = slim.groupBy("fp").agg(F.min(F.struct("id", "th")).alias("first"))
     rooted = values.join(_roots(slim, radius), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    best = rooted.groupBy("root").agg(F.min("first").alias("best")).select(F.col("best.id").alias("__id"), F.col("best.th").alias("__th"))
-    marked = docs.withColumn("__id", F.coalesce(F.col(id_col), F.lit(NULL_ID))).withColumn("__th", F.xxhash64(text_col))
-    return marked.join(best, ["__id", "__th"], "left_semi").dropDuplicates(["__id", "__th"]).select(*own)
+    i, t = fresh(docs.columns, "__id", "__th")
+    best = rooted.groupBy("root").agg(F.min("first").alias("best")).select(F.col("best.id").alias(i), F.col("best.th").alias(t))
+    return docs.withColumns({i: id_, t: F.xxhash64(text)}).join(best, [i, t], "left_semi").dropDuplicates([i, t]).select(*columns_of(docs))

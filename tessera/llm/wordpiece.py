@@ -5,8 +5,9 @@ tokens that greedy matching pops on following it; counting walks the trie and
 adds those numbers, and no piece is ever built.
 
 Cases: a null or empty text has no words and no tokens; a word with a byte that no
-token covers counts as one unknown token; repeated rows are counted each on its
-own; other columns are not read; an empty table gives an empty result.
+token covers counts as one unknown token; a very long text or word takes time in
+proportion to its length; of tokens that match, ties cannot occur, as the longest is
+one; repeated rows are counted each on its own; other columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,10 +18,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tessera.llm.common import map_texts
+from tessera.llm.common import map_texts, quoted
 
-#: Words whose counts a worker remembers at most.
-REMEMBERED = 300_000
+#: Words whose counts a worker remembers, at most, and bytes of such a word; longer ones are counted anew.
+REMEMBERED, MAX_REMEMBERED = 300_000, 64
 
 
 class Automaton:
@@ -84,11 +85,11 @@ class Automaton:
         return total
 
     def counts(self, words: list[str]) -> int:
-        known = self.known
+        known, long = self.known, {}
         for word in set(words):
             if word not in known:
-                known[word] = self.count(word.encode())
-        total = sum(map(known.__getitem__, words))
+                (known if len(word) <= MAX_REMEMBERED else long)[word] = self.count(word.encode())
+        total = sum(map(known.__getitem__, words)) if not long else sum(known[w] if w in known else long[w] for w in words)
         if len(known) > REMEMBERED:
             known.clear()
         return total
@@ -97,7 +98,7 @@ class Automaton:
 def count_tokens(docs: DataFrame, vocabulary: Iterable[bytes], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_words (matches of pattern) and n_tokens (greedy pieces of those, over all words)."""
     shared = docs.sparkSession.sparkContext.broadcast(Automaton(vocabulary))
-    schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, n_words long, n_tokens long"
+    schema = f"{quoted(id_col)} {docs.schema[id_col].dataType.simpleString()}, n_words long, n_tokens long"
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
         automaton, split = shared.value, regex.compile(pattern).findall
@@ -106,4 +107,4 @@ def count_tokens(docs: DataFrame, vocabulary: Iterable[bytes], pattern: str, id_
             [part.column(0), pa.array([len(w) for w in words], pa.int64()), pa.array([automaton.counts(w) for w in words], pa.int64())], [id_col, "n_words", "n_tokens"]
         )
 
-    return map_texts(docs.select(id_col, text_col), work, schema, text_col)
+    return map_texts(docs.select(quoted(id_col), quoted(text_col)), work, schema, text_col)
