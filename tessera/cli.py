@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 
 from tessera import __version__
@@ -24,6 +25,7 @@ def parser() -> argparse.ArgumentParser:
     out.add_argument("-x", "--mismatch", type=int, default=-5)
     out.add_argument("-g", "--gap", type=int, default=-4)
     out.add_argument("-t", "--threads", type=int, default=1, help="cores, where Spark runs locally")
+    out.add_argument("--master", help="of the cluster; without it spark-submit's, or else this machine's cores")
     out.add_argument("--split", type=int, metavar="BYTES", help="take targets in chunks of this size")
     out.add_argument("--subsample", type=int, nargs=2, metavar=("REFERENCE_LENGTH", "COVERAGE"))
     out.add_argument("--out", help="folder to write to")
@@ -41,7 +43,10 @@ def main(argv: list[str] | None = None) -> None:
     from tessera.sources.files import fasta_lines, read_overlaps, read_sequences, write_fasta
 
     config = PolishConfig(args.window_length, args.quality_threshold, args.error_threshold, not args.no_trimming, args.match, args.mismatch, args.gap, args.fragment_correction, args.include_unpolished)
-    spark = SparkSession.builder.master(f"local[{args.threads}]").appName("tessera").getOrCreate()
+    builder = SparkSession.builder.appName("tessera")
+    if args.master or "PYSPARK_GATEWAY_PORT" not in os.environ:  # spark-submit has set the master
+        builder = builder.master(args.master or f"local[{args.threads}]")
+    spark = builder.getOrCreate()
     reads, overlaps, targets = read_sequences(spark, args.reads), read_overlaps(spark, args.overlaps), read_sequences(spark, args.targets)
     if args.subsample:
         reads = subsample(reads, [F.xxhash64("name"), "ordinal"], F.length("data"), *args.subsample).drop("running")

@@ -5,55 +5,81 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 _FAR = 1 << 29
 
+#: Cells of a table, four bytes each, that is held whole.
+HELD_CELLS = 8 << 20
 
-def _banded(query: np.ndarray, target: np.ndarray, width: int) -> np.ndarray:
-    """Row i, column c: the distance of query[:i] and target[:j] for j = i + c - width, over paths that stay in the band."""
-    n, m = len(query), len(target)
-    columns = np.arange(2 * width + 1)
-    rows = np.empty((n + 1, 2 * width + 1), np.int32)
-    j = columns - width
-    rows[0] = np.where((j >= 0) & (j <= m), j, _FAR)
-    for i in range(1, n + 1):
-        j = columns + (i - width)
-        above = rows[i - 1]
-        row = above + (target[np.clip(j - 1, 0, m - 1)] != query[i - 1]) if m else np.full(len(columns), _FAR, np.int32)
-        row[j < 1] = _FAR
+
+def _first_row(m: int, width: int) -> np.ndarray:
+    j = np.arange(2 * width + 1) - width
+    return np.where((j >= 0) & (j <= m), j, _FAR).astype(np.int32)
+
+
+def _rows(query: np.ndarray, target: np.ndarray, width: int, before: np.ndarray, first: int, past: int):
+    """Rows first..past - 1 from the row before: row i, column c is the distance of query[:i] and target[:j] for j = i + c - width, over paths in the band."""
+    m, columns = len(target), np.arange(2 * width + 1, dtype=np.int32)
+    above = before
+    for i in range(first, past):
+        row = np.full(len(columns), _FAR, np.int32)
+        low, high = max(1, i - width), min(m, i + width)  # columns of the target in the band
+        if low <= high:
+            c = slice(low - i + width, high - i + width + 1)
+            row[c] = above[c] + (target[low - 1 : high] != query[i - 1])
         np.minimum(row[:-1], above[1:] + 1, out=row[:-1])
-        row[j == 0] = i
-        row[(j < 0) | (j > m)] = _FAR
+        if i <= width:
+            row[width - i] = i
+            row[: width - i] = _FAR
+        if m - i + width < 2 * width:
+            row[max(0, m - i + width + 1) :] = _FAR
         row = np.minimum.accumulate(row - columns) + columns
-        row[(j < 0) | (j > m)] = _FAR
-        rows[i] = row
-    return rows
+        if i <= width:
+            row[: width - i] = _FAR
+        if m - i + width < 2 * width:
+            row[max(0, m - i + width + 1) :] = _FAR
+        above = row
+        yield row
 
 
-def align(query: str, target: str) -> str:
-    """CIGAR of a least-cost alignment; of equal ones the path that, from the end, prefers M, then I, then D."""
+def align_with_cost(query: str, target: str) -> tuple[str, int]:
+    """CIGAR of a least-cost alignment and the cost of that path; of equal ones the path that, from the end, prefers M, then I, then D.
+
+    Of a table beyond HELD_CELLS only every so-manyth row is held, and the rows between two of those are made again on the way
+    back: with sequences of n bases that differ in d, some n ** 0.5 rows of 2 d.
+    """
     q, t = np.frombuffer(query.encode(), np.uint8), np.frombuffer(target.encode(), np.uint8)
     n, m = len(q), len(t)
     width = max(32, abs(n - m) + 8)
     while True:
-        rows = _banded(q, t, width)
-        if rows[n, m - n + width] <= width or width >= max(n, m):
+        stride = 1 if (n + 1) * (2 * width + 1) <= HELD_CELLS else max(64, int(np.ceil(np.sqrt(n))))
+        kept, row = [_first_row(m, width)], _first_row(m, width)
+        for i, row in enumerate(_rows(q, t, width, kept[0], 1, n + 1), 1):
+            if i % stride == 0:
+                kept.append(row)
+        if row[m - n + width] <= width or width >= max(n, m):
             break
         width *= 2
-    ops, i, j = [], n, m
+    ops, cost, i, j = [], 0, n, m
+    base, rows = (0, kept) if stride == 1 else (n + 1, [])  # rows base, base + 1, ... are at hand
     while i or j:
+        if i and i - 1 < base:
+            base = (i - 1) // stride * stride
+            rows = [kept[base // stride], *_rows(q, t, width, kept[base // stride], base + 1, i + 1)]
         c = j - i + width
-        here = rows[i, c]
-        if i and j and rows[i - 1, c] + (q[i - 1] != t[j - 1]) == here:
+        here = kept[0][c] if not i else rows[i - base][c]
+        above = rows[i - 1 - base] if i else None
+        if i and j and above[c] + (q[i - 1] != t[j - 1]) == here:
             ops.append("M")
+            cost += int(q[i - 1] != t[j - 1])
             i, j = i - 1, j - 1
-        elif i and c + 1 <= 2 * width and rows[i - 1, c + 1] + 1 == here:
+        elif i and c + 1 <= 2 * width and above[c + 1] + 1 == here:
             ops.append("I")
-            i -= 1
+            cost, i = cost + 1, i - 1
         else:
             ops.append("D")
-            j -= 1
+            cost, j = cost + 1, j - 1
     out, last, count = [], "", 0
     for op in reversed(ops):
         if op == last:
@@ -62,7 +88,18 @@ def align(query: str, target: str) -> str:
             if count:
                 out.append(f"{count}{last}")
             last, count = op, 1
-    return "".join([*out, f"{count}{last}"]) if count else ""
+    return "".join([*out, f"{count}{last}"]) if count else "", cost
+
+
+def align(query: str, target: str) -> str:
+    return align_with_cost(query, target)[0]
+
+
+@F.pandas_udf(StructType([StructField("cigar", StringType()), StructField("cost", LongType())]))
+def align_pair(query: pd.Series, target: pd.Series) -> pd.DataFrame:
+    """The CIGAR and the cost of its path; null where a sequence is."""
+    found = [(None, None) if q is None or t is None else align_with_cost(q, t) for q, t in zip(query, target)]
+    return pd.DataFrame({"cigar": pd.Series([x for x, _ in found], dtype=object), "cost": pd.Series([x for _, x in found], dtype="Int64")})
 
 
 @F.pandas_udf(StringType())

@@ -2,38 +2,87 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.sequence import cigar_codes, cigar_lengths, mean_quality, slice_of
+from tessera.functions.sequence import mean_quality, slice_of
 
 
 def tiles(targets: DataFrame, window_length: int) -> DataFrame:
     """targets (t_id, data[, quality]) cut at a fixed grid: t_id, rank, backbone, backbone_quality ('!' where there is none). Empty targets have none."""
     quality = F.col("quality") if "quality" in targets.columns else F.lit(None).cast("string")
-    some = targets.where(F.length("data") > 0).withColumn("q", F.coalesce(quality, F.expr("repeat('!', length(data))")))
-    ranks = F.sequence(F.lit(0).cast("long"), F.expr(f"(length(data) - 1) div {window_length}").cast("long"))
-    out = some.withColumn("rank", F.explode(ranks)).withColumn("from", F.col("rank") * window_length)
-    end = F.least(F.col("from") + window_length, F.length("data"))
-    return out.select("t_id", "rank", slice_of(F.col("data"), F.col("from"), end).alias("backbone"), slice_of(F.col("q"), F.col("from"), end).alias("backbone_quality"))
+    some = targets.where(F.length("data") > 0).select("t_id", F.col("data").cast("binary").alias("d"), quality.cast("binary").alias("q"))
+    ranks = F.sequence(F.lit(0).cast("long"), F.expr(f"(octet_length(d) - 1) div {window_length}").cast("long"))
+    cut = lambda column, rank: F.substring(column, (rank * window_length + 1).cast("int"), F.lit(window_length)).cast("string")
+    out = some.select("t_id", F.explode(F.transform(ranks, lambda r: F.struct(r.alias("rank"), cut(F.col("d"), r).alias("d"), cut(F.col("q"), r).alias("q")))).alias("x"))
+    return out.select("t_id", "x.rank", F.col("x.d").alias("backbone"), F.coalesce("x.q", F.expr("repeat('!', length(x.d))")).alias("backbone_quality"))
+
+
+_DIGIT = np.isin(np.arange(256), np.arange(48, 58))
+_QUERY, _TARGET, _ALIGNED = (np.isin(np.arange(256), list(codes)) for codes in (b"M=XI", b"M=XDN", b"M=X"))
+
+
+def parsed(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The operations of CIGAR strings laid end to end: their string's number, length and code."""
+    column = pc.fill_null(column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column, "").cast(pa.large_string())
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None and len(column) else np.zeros(0, np.uint8)
+    at = at - at[0] if len(at) else np.zeros(1, np.int64)
+    place = np.flatnonzero(~_DIGIT[raw])
+    owner = np.searchsorted(at, place, "right") - 1
+    floor = np.maximum(np.concatenate([[-1], place[:-1]]), at[owner] - 1)  # what stands before the digits
+    length, scale, digit = np.zeros(len(place), np.int64), 1, place - 1
+    while (more := digit > floor).any():
+        length[more] += (raw[digit[more]].astype(np.int64) - 48) * scale
+        scale *= 10
+        digit = digit - 1
+    return owner, length, raw[place]
+
+
+def _sums_before(values: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """The sum of the values before each, of the same owner; owners ascend."""
+    total = np.cumsum(values) - values
+    first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else owner
+    return total - np.repeat(total[first], np.diff(np.append(first, len(owner))))
 
 
 def breaking_points(alignments: DataFrame, key: list[str], window_length: int) -> DataFrame:
     """alignments (key, cigar, t_begin, q_start): per tile that aligned columns touch, its first and past-last ones.
 
     q_start is where the query starts in the direction of the alignment. Columns: key, rank, t_first, q_first, t_last, q_last.
+    Running sums within a CIGAR are no column expression in linear time, so each batch of rows is taken as arrays; nothing is shuffled.
     """
-    ops = alignments.select(*key, "t_begin", "q_start", F.posexplode(F.arrays_zip(cigar_lengths(F.col("cigar")).alias("n"), cigar_codes(F.col("cigar")).alias("c"))).alias("pos", "op")).select(
-        *key, "t_begin", "q_start", "pos", F.col("op.n").alias("n"), F.col("op.c").alias("c")
-    )
-    before = Window.partitionBy(*key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    taken = lambda codes: F.coalesce(F.sum(F.when(F.col("c").isin(*codes), F.col("n")).otherwise(0)).over(before), F.lit(0))
-    blocks = ops.withColumns({"t0": F.col("t_begin") + taken("M=XDN"), "q0": F.col("q_start") + taken("M=XI")}).where(F.col("c").isin(*"M=X") & (F.col("n") > 0))
-    cut = blocks.withColumn("rank", F.explode(F.sequence(F.expr(f"t0 div {window_length}"), F.expr(f"(t0 + n - 1) div {window_length}"))))
-    first = F.greatest(F.col("t0"), F.col("rank") * window_length)
-    past = F.least(F.col("t0") + F.col("n"), (F.col("rank") + 1) * window_length)
-    cut = cut.withColumns({"t_first": first, "t_last": past}).withColumns({"q_first": F.col("q0") + F.col("t_first") - F.col("t0"), "q_last": F.col("q0") + F.col("t_last") - F.col("t0")})
-    return cut.groupBy(*key, "rank").agg(F.min("t_first").alias("t_first"), F.min("q_first").alias("q_first"), F.max("t_last").alias("t_last"), F.max("q_last").alias("q_last"))
+    k = len(key)
+
+    def work(batches):
+        for batch in batches:
+            owner, n, code = parsed(batch.column(k))
+            begin, start = (np.asarray(batch.column(k + i).cast(pa.int64())) for i in (1, 2))
+            t0 = begin[owner] + _sums_before(np.where(_TARGET[code], n, 0), owner)
+            q0 = start[owner] + _sums_before(np.where(_QUERY[code], n, 0), owner)
+            use = _ALIGNED[code] & (n > 0)
+            owner, n, t0, q0 = owner[use], n[use], t0[use], q0[use]
+            low = t0 // window_length
+            many = (t0 + n - 1) // window_length - low + 1
+            block = np.repeat(np.arange(len(n)), many)
+            rank = low[block] + np.arange(len(block)) - np.repeat(np.cumsum(many) - many, many)
+            first = np.maximum(t0[block], rank * window_length)
+            past = np.minimum((t0 + n)[block], (rank + 1) * window_length)
+            own, shift = owner[block], (q0 - t0)[block]
+            # blocks ascend along the target, so a tile's are neighbours, its first and last ones at the ends
+            head = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (rank[1:] != rank[:-1])])) if len(own) else own
+            tail = np.append(head[1:], len(own)) - 1 if len(own) else own
+            keys = [column.take(pa.array(own[head])) for column in batch.columns[:k]]
+            values = (rank[head], first[head], (first + shift)[head], past[tail], (past + shift)[tail])
+            yield pa.RecordBatch.from_arrays([*keys, *map(pa.array, values)], [*key, "rank", "t_first", "q_first", "t_last", "q_last"])
+
+    slim = alignments.select(*key, "cigar", "t_begin", "q_start")
+    schema = ", ".join(f"{c} {slim.schema[c].dataType.simpleString()}" for c in key)
+    return slim.mapInArrow(work, f"{schema}, rank long, t_first long, q_first long, t_last long, q_last long")
 
 
 def wide_enough(window_length: int):

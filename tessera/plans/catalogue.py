@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from tessera.config import PolishConfig
 from tessera.functions import sequence as S
 from tessera.operators import layers as L
-from tessera.operators.align import align_cigar
+from tessera.operators.align import align_pair
 from tessera.operators.ordinals import with_ordinal
 from tessera.operators.prepare import rename_pairs, split_targets, subsample
-from tessera.operators.resolve import shared_identity
+from tessera.operators.resolve import resolve, shared_identity
 from tessera.operators.select import best_per_run, fragment_filter, with_islands
 from tessera.plans import fixtures as X
 from tessera.plans import polish as P
@@ -204,6 +204,59 @@ def polishable_split(spark, sf_dir):
     return grid.join(depth, ["t_id", "rank"], "left").select("t_id", "rank", layers.alias("layers"), (layers >= 2).alias("polishable"))
 
 
+@query("""
+WITH r AS (SELECT 'c' || o_custkey AS name, max(o_orderkey) AS ordinal FROM orders GROUP BY 1),
+t AS (SELECT 'c' || c_custkey AS name, max(c_custkey) AS ordinal FROM customer GROUP BY 1),
+o AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 'c' || (l_orderkey % 4000) AS q, 'c' || (l_partkey % 2500) AS t, l_linestatus = 'O' AS ok FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN own.name IS NULL THEN 'q' || r.ordinal ELSE 't' || own.ordinal END AS q_id, 't' || t.ordinal AS t_id,
+       r.ordinal AS q_ordinal, t.ordinal AS t_ordinal, CAST(100 AS BIGINT) AS t_length
+FROM o JOIN r ON r.name = o.q JOIN t ON t.name = o.t LEFT JOIN t AS own ON own.name = o.q WHERE ok""")
+def overlap_resolve(spark, sf_dir):
+    """Overlaps by name to reads and targets, some of whose names repeat or are missing; invalid ones go."""
+    length = F.lit(100).cast("long").alias("length")
+    reads = X.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ordinal"), F.concat(F.lit("c"), F.col("o_custkey")).alias("name"), length)
+    targets = X.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("ordinal"), F.concat(F.lit("c"), F.col("c_custkey")).alias("name"), length)
+    laps = X.table(spark, sf_dir, "lineitem").select(
+        *_NAMES, F.expr("concat('c', l_orderkey % 4000)").alias("q_name"), F.expr("concat('c', l_partkey % 2500)").alias("t_name"), F.lit(100).cast("long").alias("q_length"), F.lit(0).cast("long").alias("t_length"), (F.col("l_linestatus") == "O").alias("is_valid")
+    )
+    return resolve(laps, shared_identity(reads, targets), targets).select(*_NAMES, "q_id", "t_id", "q_ordinal", "t_ordinal", "t_length")
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, doc_id % 2 = 1 AS back, data, translate(data, 'ACGT', 'I5?+') AS q FROM (SELECT doc_id, {X.SQL_DNA} AS data FROM documents)),
+o AS (SELECT doc_id, CASE WHEN back THEN reverse(translate(data, 'ATCG', 'TAGC')) ELSE data END AS data, CASE WHEN back THEN reverse(q) ELSE q END AS q FROM d),
+x AS (SELECT doc_id, data, q, rank, rank * {WINDOW} + doc_id % 7 AS first, least((rank + 1) * {WINDOW}, length(data)) - doc_id % 5 AS past
+      FROM (SELECT doc_id, data, q, unnest(range(0, (length(data) - 1) // {WINDOW} + 1)) AS rank FROM o WHERE length(data) > 0)),
+s AS (SELECT doc_id, rank, first, past, substr(data, CAST(first + 1 AS BIGINT), CAST(past - first AS BIGINT)) AS data, substr(q, CAST(first + 1 AS BIGINT), CAST(past - first AS BIGINT)) AS quality
+      FROM x WHERE past - first >= 0.02 * {WINDOW} AND past - 1 <> first)
+SELECT doc_id, CAST(rank AS BIGINT) AS rank, CAST(first - rank * {WINDOW} AS BIGINT) AS layer_begin, CAST(past - 1 - rank * {WINDOW} AS BIGINT) AS layer_end, data, quality
+FROM s WHERE list_sum(list_transform(string_split(quality, ''), lambda c: ascii(c) - 33)) / length(quality) >= 25""")
+def layers_by_quality(spark, sf_dir):
+    """Slices of each document's letters, every second one reversed, of a mean quality of 25 or more."""
+    own = _documents(spark, sf_dir).withColumns({"back": F.col("doc_id") % 2 == 1, "q": F.translate("data", "ACGT", "I5?+")})
+    reads = own.select(F.col("doc_id").alias("read"), F.col("back").alias("strand"), S.oriented(F.col("data"), F.col("back")).alias("data"), F.when(F.col("back"), S.reverse_quality(F.col("q"))).otherwise(F.col("q")).alias("quality"))
+    grid = own.where(F.length("data") > 0).select("doc_id", F.col("doc_id").alias("read"), F.col("doc_id").alias("t_id"), F.col("back").alias("strand"), F.length("data").cast("long").alias("n"), F.explode(F.expr(f"sequence(0L, cast((length(data) - 1) div {WINDOW} as bigint))")).alias("rank"))
+    first, past = F.col("rank") * WINDOW + F.col("doc_id") % 7, F.least((F.col("rank") + 1) * WINDOW, F.col("n")) - F.col("doc_id") % 5
+    points = grid.withColumns({"t_first": first, "q_first": first, "t_last": past, "q_last": past})
+    kept = L.layers(points, reads, ["doc_id"], WINDOW, 25.0)
+    return kept.select("doc_id", "rank", F.col("begin").alias("layer_begin"), F.col("end").alias("layer_end"), "data", "quality")
+
+
+@query(f"""{_POINTS}, grid AS (
+  SELECT p_partkey AS t_id, unnest(range(0, (999 + 50 * p_size) // {WINDOW} + 1)) AS rank FROM part
+), l AS (SELECT t_id, rank, ordinal, t_first - rank * {WINDOW} AS b, t_last - 1 - rank * {WINDOW} AS e FROM wide)
+SELECT t_id, CAST(rank AS BIGINT) AS rank, count(ordinal) AS n, md5(coalesce(string_agg(b || ':' || ordinal || ':' || e, ',' ORDER BY b, ordinal), '')) AS layers
+FROM grid LEFT JOIN l USING (t_id, rank) GROUP BY t_id, rank""")
+def window_stacks(spark, sf_dir):
+    """Each tile's layers in their order."""
+    grid = X.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("t_id"), F.explode(F.expr(f"sequence(0L, cast((999 + 50 * p_size) div {WINDOW} as bigint))")).alias("rank"))
+    start = F.col("rank") * WINDOW
+    none = F.lit(None).cast("string")
+    layered = _points(spark, sf_dir).where(L.wide_enough(WINDOW)).select("t_id", "rank", "ordinal", (F.col("t_first") - start).alias("begin"), (F.col("t_last") - 1 - start).alias("end"), none.alias("data"), none.alias("quality"))
+    each = F.transform("layers", lambda x: F.concat_ws(":", x["begin"], x["ordinal"], x["end"]))
+    return L.stacks(grid, layered, ["ordinal"]).select("t_id", "rank", F.size("layers").cast("long").alias("n"), F.md5(F.array_join(each, ",").cast("binary")).alias("layers"))
+
+
 @query(f"""
 WITH t AS ({_TILES}), w AS (SELECT doc_id, string_agg(backbone, '' ORDER BY rank) AS data, count(*) AS n, sum(CASE WHEN rank % 3 = 0 THEN 1 ELSE 0 END) AS p FROM t GROUP BY doc_id)
 SELECT doc_id, 'd' || doc_id || ' LN:i:' || length(data) || ' RC:i:' || n || ' XC:f:' || printf('%.6f', p / n) AS name, data FROM w""")
@@ -241,14 +294,15 @@ def edit_distance_pairs(spark, sf_dir):
 
 
 @query(f"""
-SELECT ordinal, CAST(length(data) AS BIGINT) AS t_aligned, CAST(length(data) - length(data) // 37 AS BIGINT) AS q_aligned
-FROM (SELECT doc_id AS ordinal, {X.SQL_DNA} AS data FROM documents) WHERE length(data) > 0""")
+SELECT ordinal, CAST(length(data) AS BIGINT) AS t_aligned, CAST(length(query) AS BIGINT) AS q_aligned, CAST(levenshtein(query, data) AS BIGINT) AS cost
+FROM (SELECT ordinal, data, array_to_string(list_transform(range(1, length(data) + 1), lambda i: CASE WHEN i % 37 = 0 THEN '' WHEN i % 23 = 0 THEN translate(data[i], 'ACGT', 'CGTA') ELSE data[i] END), '') AS query
+FROM (SELECT doc_id AS ordinal, {X.SQL_DNA} AS data FROM documents) WHERE length(data) > 0)""")
 def align_paths(spark, sf_dir):
-    """Each document's letters without every 37th, aligned to all of them: the path's spans."""
+    """Each document's letters without every 37th and with every 23rd changed, aligned to all of them: the path's spans and its cost."""
     own = _documents(spark, sf_dir).where(F.length("data") > 0)
-    less = F.array_join(F.filter(F.transform(F.split("data", ""), lambda c, i: F.when((i + 1) % 37 != 0, c)), lambda c: c.isNotNull()), "")
-    pairs = P.spread(own.withColumn("query", less), "doc_id").withColumn("cigar", align_cigar("query", "data"))
-    return pairs.select(F.col("doc_id").alias("ordinal"), S.target_span(F.col("cigar")).alias("t_aligned"), S.query_span(F.col("cigar")).alias("q_aligned"))
+    changed = F.transform(F.split("data", ""), lambda c, i: F.when((i + 1) % 37 == 0, "").when((i + 1) % 23 == 0, F.translate(c, "ACGT", "CGTA")).otherwise(c))
+    pairs = P.spread(own.withColumn("query", F.array_join(changed, "")), "doc_id").withColumn("x", align_pair("query", "data"))
+    return pairs.select(F.col("doc_id").alias("ordinal"), S.target_span(F.col("x.cigar")).alias("t_aligned"), S.query_span(F.col("x.cigar")).alias("q_aligned"), F.col("x.cost").alias("cost"))
 
 
 def _run(spark, sf_dir):

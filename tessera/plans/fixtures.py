@@ -36,7 +36,7 @@ def overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("cast(1000 + 50 * p_size as bigint)").alias("t_length"), (F.col("l_linenumber") * 10).cast("long").alias("q_begin"), (F.col("l_returnflag") == "R").alias("strand"),
         F.concat(F.expr("cast(narrow div 2 as string)"), F.lit("M"), gap, F.expr("cast(narrow - narrow div 2 as string)"), F.lit("M")).alias("cigar"),
     )
-    return out.withColumns({"t_begin": F.expr("(l_suppkey * 37) % (t_length + 1)"), "length": overlap_length(F.col("q_span"), F.col("t_span")), "error": overlap_error(F.col("q_span"), F.col("t_span"))})
+    return out.withColumns({"t_begin": F.expr("(l_suppkey * 37) % (t_length - t_span + 1)"), "length": overlap_length(F.col("q_span"), F.col("t_span")), "error": overlap_error(F.col("q_span"), F.col("t_span"))})
 
 
 def ordered_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +55,7 @@ lines AS (
          l_orderkey % 500 AS q_id, l_partkey % 500 AS t_id,
          CASE WHEN flipped THEN narrow ELSE wide END AS q_span, CASE WHEN flipped THEN wide ELSE narrow END AS t_span,
          CAST(1000 + 50 * p_size AS BIGINT) AS t_length, CAST(l_linenumber * 10 AS BIGINT) AS q_begin, l_returnflag = 'R' AS strand,
-         (l_suppkey * 37) % (CAST(1000 + 50 * p_size AS BIGINT) + 1) AS t_begin,
+         (l_suppkey * 37) % (CAST(1000 + 50 * p_size AS BIGINT) - CASE WHEN flipped THEN wide ELSE narrow END + 1) AS t_begin,
          wide AS length, CASE WHEN wide = 0 THEN CAST('NaN' AS DOUBLE) ELSE 1 - narrow / wide END AS error,
          CAST(narrow // 2 AS VARCHAR) || 'M' || CASE WHEN wide = narrow THEN '' ELSE CAST(wide - narrow AS VARCHAR) || CASE WHEN flipped THEN 'D' ELSE 'I' END END
            || CAST(narrow - narrow // 2 AS VARCHAR) || 'M' AS cigar

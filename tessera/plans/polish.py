@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from tessera.config import PolishConfig
 from tessera.functions.sequence import oriented, slice_of, tag
 from tessera.operators import layers as L
-from tessera.operators.align import align_cigar
+from tessera.operators.align import align_pair
 from tessera.operators.ordinals import with_ordinal
-from tessera.operators.poa import consensus_of
+from tessera.operators.poa import consensus_udf
 from tessera.operators.resolve import resolve, shared_identity
 from tessera.operators.select import best_per_run, fragment_filter
+from tessera.session import settled
 from tessera.sources.files import read_overlaps, read_sequences
 
 
@@ -29,7 +30,7 @@ def chosen_overlaps(reads: DataFrame, overlaps: DataFrame, targets: DataFrame, c
     slim = lambda df: df.select("ordinal", "name", F.length("data").cast("long").alias("length"), F.length("quality").cast("long").alias("quality_length"))
     known = resolve(overlaps, shared_identity(slim(reads), slim(targets)), slim(targets))
     if config.fragment:
-        return fragment_filter(known, config.error_threshold)
+        return settled(fragment_filter(known, config.error_threshold))  # used several times
     return best_per_run(with_ordinal(known.withColumnRenamed("ordinal", "line"), ["line"]), config.error_threshold)
 
 
@@ -48,7 +49,7 @@ def with_cigars(chosen: DataFrame, reads: DataFrame, targets: DataFrame) -> Data
     begin = F.when(F.col("strand"), F.col("q_length") - F.col("q_end")).otherwise(F.col("q_begin"))
     query = slice_of(oriented(F.col("q"), F.col("strand")), begin, begin + F.col("q_end") - F.col("q_begin"))
     pairs = joined.withColumns({"q": query, "t": slice_of(F.col("t"), F.col("t_begin"), F.col("t_end"))})
-    aligned = spread(pairs, "ordinal").withColumn("cigar", align_cigar("q", "t")).select(*chosen.columns)
+    aligned = spread(pairs, "ordinal").withColumn("cigar", align_pair("q", "t")["cigar"]).select(*chosen.columns)
     return own.select(*chosen.columns).unionByName(aligned)
 
 
@@ -67,12 +68,11 @@ def build_windows(reads: DataFrame, chosen: DataFrame, targets: DataFrame, confi
 
 
 def polished_windows(windows: DataFrame, config: PolishConfig, trim: bool) -> DataFrame:
-    """t_id, rank, consensus, polished. Windows of fewer than two layers keep their backbone.
-
-    All go the same way: a branch for those few would compute the joins before it once more.
-    """
-    match, mismatch, gap = config.match, config.mismatch, config.gap
-    return spread(windows, "t_id", "rank").mapInPandas(lambda batches: consensus_of(batches, match, mismatch, gap, trim), "t_id string, rank long, consensus string, polished boolean")
+    """t_id, rank, consensus, polished. Windows of fewer than two layers keep their backbone, and their sequences stay out of Python."""
+    polished = F.size("layers") >= 2
+    thick = lambda c: F.when(polished, F.col(c))
+    consensus = consensus_udf(config.match, config.mismatch, config.gap, trim)(thick("backbone"), thick("backbone_quality"), thick("layers"))
+    return spread(windows, "t_id", "rank").select("t_id", "rank", F.coalesce(consensus, "backbone").alias("consensus"), polished.alias("polished"))
 
 
 def finished(consensus: DataFrame, chosen: DataFrame, targets: DataFrame, config: PolishConfig) -> DataFrame:
@@ -92,6 +92,8 @@ def polish(reads: DataFrame, overlaps: DataFrame, targets: DataFrame, config: Po
         if df.isEmpty():
             raise ValueError(f"empty set of {name}")
     chosen = chosen_overlaps(reads, overlaps, targets, config)
+    if chosen.isEmpty():
+        raise ValueError("no overlap is left after filtering")
     return finished(polished_windows(build_windows(reads, chosen, targets, config), config, trim), chosen, targets, config)
 
 

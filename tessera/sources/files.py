@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.sequence import known_quality, overlap_error, overlap_length, query_range, target_span
+from tessera.operators.ordinals import with_ordinal
 
 #: Suffixes of each format; each also with .gz. Case counts.
 FASTA, FASTQ = (".fasta", ".fna", ".fa"), (".fastq", ".fq")
@@ -15,14 +16,14 @@ def _has(path: str, suffixes: tuple[str, ...]) -> bool:
     return path.removesuffix(".gz").endswith(suffixes)
 
 
-def _numbered(spark: SparkSession, path: str, separator: str | None = None) -> DataFrame:
+def _numbered(spark: SparkSession, path: str, separator: str | None = None, keep_file: bool = False) -> DataFrame:
     """value and line, the number of the line in the file, or in all files in the order of their names; blocks are counted first, so files stay splittable."""
     reader = spark.read.option("lineSep", separator) if separator else spark.read
     rows = reader.text(path).select("value", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")).alias("block"), F.monotonically_increasing_id().alias("id"))
     counts = rows.groupBy("block").count()
     before = counts.withColumn("before", F.coalesce(F.sum("count").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("block", "before")
     own = F.row_number().over(Window.partitionBy("block").orderBy("id")) - 1
-    return rows.withColumn("own", own).join(F.broadcast(before), "block").select((F.col("own") + F.col("before")).alias("line"), "value")  # a row for each block
+    return rows.withColumn("own", own).join(F.broadcast(before), "block").select((F.col("own") + F.col("before")).alias("line"), "value", *([F.col("block.file").alias("file")] if keep_file else []))  # a row for each block
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
@@ -38,12 +39,15 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
 def read_fastq(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
     """ordinal, name, data (upper case), quality (null if all of it is '!').
 
-    Records are four lines each, gathered by number; with multiline all is parsed in order by one task. Empty lines at
-    the very end do not count, elsewhere they are an error; a record may have empty data and quality.
+    Records are four lines each, gathered by number; with multiline each file is parsed in order by one task, records being
+    numbered over all files. Empty lines at the very end do not count, elsewhere they are an error; a record may have empty
+    data and quality. With multiline a record of more quality than data is an error; one of less is left out where it is cut
+    off by its file's end.
     """
     lines = _numbered(spark, path)
     if multiline:
-        parsed = lines.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(_parse_fastq, "ordinal long, name string, data string, quality string")
+        parsed = _numbered(spark, path, keep_file=True).groupBy("file").applyInPandas(_parse_fastq, "line long, record long, name string, data string, quality string")
+        parsed = with_ordinal(parsed, ["line", "record"])
     else:
         lines = lines.withColumns({"ordinal": F.expr("line div 4"), "k": F.col("line") % 4})
         part = lambda k: F.max(F.when(F.col("k") == k, F.regexp_replace("value", "\r$", "")))
@@ -58,8 +62,8 @@ def read_fastq(spark: SparkSession, path: str, multiline: bool = False) -> DataF
 def _parse_fastq(lines):
     import pandas as pd
 
-    texts = iter(x.rstrip("\r") for x in lines.sort_values("line")["value"])
-    out = []
+    lines = lines.sort_values("line")
+    texts, first, out = iter(x.rstrip("\r") for x in lines["value"]), int(lines["line"].iloc[0]), []
     for head in texts:
         if not head.startswith("@"):
             continue
@@ -70,10 +74,12 @@ def _parse_fastq(lines):
             data += line
         while len(quality) < len(data) and (line := next(texts, None)) is not None:
             quality += line
-        if len(quality) != len(data):
-            break  # a truncated last record
-        out.append((len(out), (head[1:].split() or [""])[0], data, quality))
-    return pd.DataFrame(out, columns=["ordinal", "name", "data", "quality"])
+        if len(quality) > len(data):
+            raise ValueError(f"more quality than data: {head}")
+        if len(quality) < len(data):
+            break  # no lines are left: a truncated last record
+        out.append((first, len(out), (head[1:].split() or [""])[0], data, quality))
+    return pd.DataFrame(out, columns=["line", "record", "name", "data", "quality"])
 
 
 def read_sequences(spark: SparkSession, path: str) -> DataFrame:

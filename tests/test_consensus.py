@@ -2,6 +2,7 @@
 
 import gzip
 import random
+import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from tessera.cli import parser
 from tessera.config import PolishConfig
 from tessera.functions import sequence as S
 from tessera.operators import layers as L
-from tessera.operators.align import align
+from tessera.operators.align import align, align_with_cost
 from tessera.operators.ordinals import with_ordinal, with_running_sum
 from tessera.operators.poa import trimmed, window_consensus
 from tessera.operators.prepare import rename_pairs, split_targets, subsample
@@ -146,13 +147,32 @@ def cost(cigar, q, t):
     return total
 
 
-def test_align():
+def test_align(monkeypatch):
     rng = random.Random(3)
     for _ in range(150):
         t = "".join(rng.choice("ACGT") for _ in range(rng.randint(0, 70)))
         q = noisy(rng, t, rng.choice([0.02, 0.1, 0.3])) if rng.random() < 0.8 else "".join(rng.choice("ACGT") for _ in range(rng.randint(0, 70)))
         assert cost(align(q, t), q, t) == distance(q, t)
     assert align("ACGT", "ACGT") == "4M" and align("", "AC") == "2D" and align("AC", "") == "2I"
+    t = "".join(rng.choice("ACGT") for _ in range(900))
+    for rate in (0.0, 0.1, 0.4):  # longer than the rows that are held
+        q = noisy(rng, t, rate)
+        cigar, own = align_with_cost(q, t)
+        assert own == cost(cigar, q, t) == distance(q, t)
+        monkeypatch.setattr("tessera.operators.align.HELD_CELLS", 1000)
+        assert align_with_cost(q, t) == (cigar, own)
+        monkeypatch.undo()
+
+
+def test_align_holds_few_rows():
+    """Ten thousand bases with every seventh changed: the whole table would be 330 MB."""
+    rng = random.Random(4)
+    t = "".join(rng.choice("ACGT") for _ in range(10_000))
+    q = "".join(rng.choice("ACGT") if i % 7 == 0 else c for i, c in enumerate(t))
+    tracemalloc.start()
+    cigar, own = align_with_cost(q, t)
+    assert own == cost(cigar, q, t) <= 1430 and tracemalloc.get_traced_memory()[1] < 40e6
+    tracemalloc.stop()
 
 
 def noisy(rng, text, rate):
@@ -180,6 +200,7 @@ def test_consensus_mends():
 def test_trim():
     assert trimmed(b"abcdef", [1, 2, 3, 3, 1, 0], 4) == b"bcd"
     assert trimmed(b"ab", [0, 0], 4) == b"ab"
+    assert trimmed(b"abc", [0, 2, 0], 4) == b"abc" and trimmed(b"abc", [0, 2, 2], 4) == b"bc"
 
 
 def test_identity(spark):
@@ -213,6 +234,9 @@ def test_files(spark, tmp_path):
     assert [tuple(r) for r in reads.collect()] == [(0, "r1", "ACGT", None), (1, "r2", "AC", "@I")]
     (tmp_path / "m.fastq").write_text("@r1\nAC\nGT\n+\n55\n@5\n@r2\nA\n+\n5\n@cut\nACG\n+\n5")
     assert [tuple(r) for r in read_fastq(spark, f"{tmp_path}/m.fastq", multiline=True).collect()] == [(0, "r1", "ACGT", "55@5"), (1, "r2", "A", "5")]
+    (tmp_path / "wrong.fastq").write_text("@r1\nAC\n+\n55\n@r2\nA\n+\n555\n@r3\nA\n+\n5\n")
+    with pytest.raises(Exception, match="more quality than data: @r2"):
+        read_fastq(spark, f"{tmp_path}/wrong.fastq", multiline=True).collect()
     with pytest.raises(Exception, match="four lines"):
         read_fastq(spark, f"{tmp_path}/m.fastq").collect()
     (tmp_path / "o.mhap").write_text("1 2 0.1 9 0 0 10 20 1 5 17 30\n")
