@@ -39,6 +39,7 @@ def folded(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     low = _FOLD[LOWER_NP[raw]]
     keep = np.ones(len(low), bool)
     keep[1:] = (low[1:] != 0x20) | (low[:-1] != 0x20)
+    keep[at[:-1][at[:-1] < len(low)]] = True  # a text's first byte does not depend on the text before it
     return low[keep], np.concatenate([[0], np.cumsum(keep)])[at] if len(low) else at
 
 
@@ -52,8 +53,13 @@ def gram_codes(low: np.ndarray, n: int) -> np.ndarray:
 class Presence:
     """Maps texts to presence bits over a fixed set of n-grams, the landmarks' own."""
 
-    def __init__(self, low: np.ndarray, orders: int = 3):
-        self.codes = [np.unique(gram_codes(low, n)) if len(low) >= n else np.zeros(0, np.int32) for n in range(1, orders + 1)]
+    def __init__(self, low: np.ndarray, at: np.ndarray | None = None, orders: int = 3):
+        """low: texts laid end to end, at: their borders (one text if not given)."""
+        doc = np.repeat(np.arange(len(at) - 1), np.diff(at)) if at is not None else np.zeros(len(low), np.int64)
+        self.codes = []
+        for n in range(1, orders + 1):
+            some = gram_codes(low, n)[doc[: len(low) - n + 1] == doc[n - 1 :]] if len(low) >= n else np.zeros(0, np.int32)
+            self.codes.append(np.unique(some))
         self._ready()
 
     def _ready(self) -> None:
@@ -94,7 +100,7 @@ class Model:
         label = np.array([number[x] for x in langs])
         mark = np.concatenate([np.flatnonzero(label == c)[:landmarks] for c in range(len(self.langs))])
         low, at = folded(*texts_of(pa.array([texts[i] for i in mark], pa.string())))
-        self.presence = Presence(low)
+        self.presence = Presence(low, at)
         bits = self.presence.bits(low, at)
         self.marks = (bits / np.sqrt(np.maximum(bits.sum(1, keepdims=True), 1))).T.copy()
         values, vectors = np.linalg.eigh((self.marks.T @ self.marks).astype(np.float64))

@@ -1,13 +1,17 @@
 """Every operator and stage on nulls, empty, long and repeated rows, empty tables and clashing column names."""
 
 import hashlib
+import os
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessera.llm import bpe, decontam, langid, lm, quality, rules, simhash, substring_dedup, suffix_dedup, wordpiece
-from tessera.llm.common import fold
+from tessera.llm.common import drop_stored, fold, fresh, stored
+from tessera.session import shared_dir
 from tests.llm.conftest import AWKWARD
 
 EMPTY = hashlib.sha256(b"").hexdigest()
@@ -102,3 +106,52 @@ def test_cut_passages(spark):
     docs = spark.createDataFrame([(1, f"Vor – {passage.upper()}! After ü", "x")], "doc_id long, text string, score string")
     assert decontam.decontaminate(docs, bench).collect()[0].text == "Vor – ! After ü"
     assert decontam.decontaminate(docs, bench, min_items=1).collect() == []
+
+
+def test_long_words_are_not_remembered(codec):
+    """Words of 100 kB are counted and encoded, and no worker keeps them."""
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("abcdefgh") for _ in range(100_000)) for _ in range(3)]
+    automaton = wordpiece.Automaton(codec.ranks)
+    for text in texts:
+        assert automaton.counts([text, "the", text]) == 2 * automaton.count(text.encode()) + automaton.count(b"the")
+    assert list(automaton.known) == ["the"]
+    assert [codec.decode(np.frombuffer(x, "<u4").tolist()) for x in codec.encode_batch(texts)] == [t.encode() for t in texts]
+    assert max(map(len, codec.known), default=0) <= bpe.MAX_REMEMBERED
+
+
+def test_a_block_is_compact():
+    """A benchmark of 8 MB: the arrays that go to every worker are some 30 bytes a window."""
+    rng = np.random.default_rng(0)
+    stock = [f"w{i}" for i in range(20_000)]
+    items = [(str(k), " ".join(stock[i] for i in rng.integers(0, 20_000, 300))) for k in range(4600)]
+    block = decontam.Windows(items, 8)
+    size = len(block.text) + sum(x.nbytes for arrays in block.lengths.values() for x in arrays)
+    assert sum(len(t) for _, t in items) > 7 << 20 and len(block.lengths[8][1]) > 1_300_000 and size < 70e6
+
+
+def test_shared_folder_is_asked_for():
+    """Off local mode there is no folder to fall back to."""
+
+    class Elsewhere:
+        class sparkContext:
+            master, applicationId = "spark://host:7077", "a"
+            getCheckpointDir = staticmethod(lambda: None)
+
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Elsewhere)
+
+
+def test_stored_tables_go(spark):
+    df = stored(spark.range(3).toDF("id"))
+    path = df._tessera_path.removeprefix("file://")
+    assert os.path.isdir(path) and df.count() == 3
+    drop_stored(df)
+    assert not os.path.exists(path)
+
+
+def test_fresh_names():
+    assert fresh(["a", "__ID", "___id"], "__id", "a", "__id") == ["____id", "_a", "_____id"]

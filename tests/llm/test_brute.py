@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import bpe, decontam, lm, queries, repeats, rules, simhash, substring_dedup, suffix_dedup, textstats, wordpiece
+from tessera.llm import bpe, decontam, lm, quality, queries, repeats, rules, simhash, substring_dedup, suffix_dedup, textstats, wordpiece
 from tessera.llm.common import fold, pieces, stored
 from tests.llm.oracle import firsts, lower as _lower
 
@@ -244,6 +244,31 @@ def test_odd_in_one_statistic(spark):
     assert sum(rows[i].kept for i in good) >= 398
 
 
+def test_ranking_by_plain_loops():
+    """The weights are where the pairs' logistic loss, summed one by one, is least; the threshold is a quantile of the scores."""
+    rng = np.random.default_rng(8)
+    label = (rng.random(80) < 0.6).astype(int)
+    rates = rng.random((80, 12)) + 0.3 * label[:, None] * rng.random(12)
+    own = quality.Ranking(rates, label, pairs=300, l2=0.01, seed=2)
+    x = np.clip((quality.features(rates) - own.mean) / own.spread, -8, 8)
+    draw = np.random.default_rng(2)
+    good, bad = draw.choice(np.flatnonzero(label == 1), 300), draw.choice(np.flatnonzero(label == 0), 300)
+
+    def loss(w):
+        total = 0.0
+        for g, b in zip(good, bad):
+            total += math.log1p(math.exp(-sum(float(v) for v in (x[g] - x[b]) * w)))
+        return total / 300 + 0.005 * float(w @ w)
+
+    least = loss(own.w)
+    for _ in range(12):
+        assert loss(own.w + 0.02 * rng.normal(size=len(own.w))) > least
+    ranked = sorted(float(v @ own.w) for v in x)
+    below = sum(v < own.threshold for v in ranked)
+    assert abs(below - (label == 0).sum()) <= 1
+    assert ((own.scores(rates) >= 0.5) == (x @ own.w >= own.threshold)).all()
+
+
 @pytest.mark.parametrize("name, column, least", [("op1_language_id", "lang", 0.95), ("op6_quality_ranking", "quality", 0.95)])
 def test_held_out(spark, name, column, least):
     sf_dir = "/root/testdata/sf0.1"
