@@ -52,3 +52,11 @@ def test_polished_is_nearer(spark):
 
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_fixture_figures(spark):
+    """The figures of the breaking points that the fixtures are documented with."""
+    from pyspark.sql import functions as F
+
+    r = FOUND["breaking_points"](spark, "/root/testdata/sf0.01").agg(F.count("*"), F.sum("t_first"), F.sum("t_last")).first()
+    assert tuple(r) == (112_772, 107_301_488, 133_589_296)
