@@ -12,6 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from tessera.session import shared_dir
 
@@ -123,12 +124,12 @@ def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def pieces(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES, rows: int = CHUNK_ROWS) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, column: str | int, limit: int = CHUNK_BYTES, rows: int = CHUNK_ROWS) -> Iterator[pa.RecordBatch]:
     """The batch in slices of at most `rows` texts and about limit bytes of text, or one text where that alone is longer."""
     n = batch.num_rows
     if not n:
         return
-    _, at = texts_of(batch.column(batch.schema.get_field_index(column)))
+    _, at = texts_of(batch.column(column if isinstance(column, int) else batch.schema.get_field_index(column)))
     i = 0
     while i < n:
         j = min(i + rows, max(i + 1, int(np.searchsorted(at, at[i] + limit, "right")) - 1))
@@ -136,18 +137,29 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES, rows: i
         i = j
 
 
-def map_texts(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, column: str = "text", setup: Callable | None = None) -> DataFrame:
-    """df.mapInArrow over slices bounded in bytes; setup() runs once a task and its value goes to work as second argument."""
+def map_texts(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType, column: str = "text", setup: Callable | None = None) -> DataFrame:
+    """df.mapInArrow over slices bounded in bytes; setup() runs once a task and its value goes to work as second argument.
+
+    With a StructType as schema, names are taken off the columns before and put on again after, as mapInArrow takes no dots in them.
+    """
+    where, own = df.columns.index(column), df.columns
+    plain = isinstance(schema, StructType)
+    if plain:
+        names = schema.names
+        schema = StructType([StructField(f"c{i}", f.dataType) for i, f in enumerate(schema)])
+        df = df.toDF(*[f"c{i}" for i in range(len(own))])
+    inside = schema.names if plain else None
 
     def run(batches):
         tools = (setup(),) if setup else ()
         for batch in batches:
-            for part in pieces(batch, column):
-                out = work(part, *tools)
+            for part in pieces(batch, where):
+                out = work(part.rename_columns(own) if inside else part, *tools)
                 if out is not None and out.num_rows:
-                    yield out
+                    yield out.rename_columns(inside) if inside else out
 
-    return df.mapInArrow(run, schema)
+    out = df.mapInArrow(run, schema)
+    return out.toDF(*names) if plain else out
 
 
 def word_spans(raw: np.ndarray, at: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -15,7 +15,7 @@ AWKWARD = [
     (8, " \t\n ", "de", "s", 3),
 ]
 EXTRA = "score double, fp long, id long, tag int, found string, n_words long, kept boolean, h long, root long, row long, __label int, "
-EXTRA += "__id long, __th long, __tag int, __found string, __copy boolean, __n_words long, __hit_words string, __item_ids string, own long, copy boolean, name long, a.b string, x`y long"
+EXTRA += "__id long, __th long, __tag int, __found string, __copy boolean, __n_words long, __hit_words string, __item_ids string, own long, copy boolean, name long, a.b string"
 
 
 @pytest.fixture(scope="session")
