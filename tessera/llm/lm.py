@@ -46,10 +46,10 @@ from pyspark.sql import functions as F
 from tessera.llm.common import LOWER, drop_stored, map_texts, pieces, quoted, stored
 
 #: Words that are classes of their own, buckets of words beyond the vocabulary, tokens of context, and the vectors' width.
-HEAD, BUCKETS, CONTEXT, WIDTH = 95, 32, 4, 16
+HEAD, BUCKETS, CONTEXT, WIDTH = 63, 32, 4, 16
 
 #: Words with vectors of their own, at most; words of a group, about; rounds of averaging; tokens of a shard, about.
-VOCABULARY, GROUP, ROUNDS, SHARD_TOKENS = 16_000, 128, 2, 3_000_000
+VOCABULARY, GROUP, ROUNDS, SHARD_TOKENS = 8_000, 96, 2, 3_000_000
 
 #: Types whose counts go to every worker, at most, and bytes of such a word.
 MAX_BROADCAST, MAX_WORD = 200_000, 64
@@ -328,10 +328,9 @@ def train(docs: DataFrame, counts: Counts, id_col: str = "doc_id", text_col: str
 
     h = F.xxhash64(F.col(quoted(id_col)).cast("string"), F.col(quoted(text_col)))
     slim = docs.select(F.pmod(F.xxhash64(h), F.lit(shards)).cast("int").alias("shard"), h.alias("h"), F.col(quoted(text_col)).alias("text"))
-    coded = map_texts(slim, code, "shard int, h long, codes array<int>", setup=lambda: Words(words_of.value))
+    coded = lambda rows: map_texts(rows, code, "shard int, h long, codes array<int>", setup=lambda: Words(words_of.value))
     share = max(1, -(-counts.n.get(END, 1) // WARM_DOCUMENTS))  # END stands once in each document
-    sample = map_texts(slim.where(F.pmod("h", F.lit(share)) == 0), code, "shard int, h long, codes array<int>", setup=lambda: Words(words_of.value))
-    sample = sample.where(F.size("codes") <= WARM_LENGTH).groupBy("h").agg(F.min("codes").alias("codes")).orderBy("h").limit(2 * WARM_DOCUMENTS).collect()
+    sample = coded(slim.where(F.pmod("h", F.lit(share)) == 0)).where(F.size("codes") <= WARM_LENGTH).groupBy("h").agg(F.min("codes").alias("codes")).orderBy("h").limit(2 * WARM_DOCUMENTS).collect()
     if sample:
         texts = [np.array(r.codes) for r in sample]
         for k in range(2):
@@ -373,7 +372,7 @@ def train(docs: DataFrame, counts: Counts, id_col: str = "doc_id", text_col: str
             if mine is not None:
                 yield given()
 
-        mine = coded.where(F.col("shard") % rounds == k).repartition("shard").sortWithinPartitions("shard", "h")
+        mine = coded(slim.where(F.col("shard") % rounds == k)).repartition("shard").sortWithinPartitions("shard", "h")
         learned = mine.mapInArrow(learn, "part long, shard long, seen long, x array<float>")
         means = learned.repartition("part").sortWithinPartitions("part", "shard").mapInArrow(_averaged, "part long, x array<double>").collect()  # one model
         if means:
