@@ -10,10 +10,12 @@ in shards small enough for that, and what is found is confirmed by the whole set
     chance s, so that all shards miss a pair with a chance of 2e-5 at 0.8, and less above.
  3. Each shard has a BK-tree of its fingerprints; a search follows only edges within RADIUS
     of its own distance to the node. Beyond it lie less than 1e-6 of the pairs at 0.8.
- 4. Of the pairs found a task hands on a spanning forest, the nearest first; these are
-    confirmed by the Jaccard similarity of the whole sets. Where some are refused, the next
-    round hands on other pairs between the components that are left, and for each text
-    eight times as many as in the round before, until there are none.
+ 4. Pairs found are compared by bitmaps of the parities of their hashes: bits that differ are
+    at most as many as the shingles that do, so no link is lost, and few others are left.
+    Of these a task hands on a spanning forest, the most alike first, which is confirmed by
+    the Jaccard similarity of the whole sets. Where some are refused, the next round hands
+    on other pairs between the components that are left (and for each text a few more), until
+    there are none.
 
 A shard beyond max_shard members is split by further least hashes. What is still too
 large is held by texts alike in many of them: all its members are tried against the
@@ -36,8 +38,11 @@ from pyspark.sql import functions as F
 from tessera.llm.common import LOWER_NP, NULL_ID, SPACE, columns_of, drop_stored, fresh, map_texts, mix, pieces, quoted, rolled, span_hashes, stored, texts_of, word_spans
 from tessera.llm.simhash import BKTrees, label_components, majority, spanning
 
-#: Shards of a text, and the radius that fingerprints are searched within.
-SHARDS, RADIUS = 16, 24
+#: Shards of a text, the radius that fingerprints are searched within, and 64-bit words of a bitmap.
+SHARDS, RADIUS, WORDS = 16, 24, 16
+
+#: Pairs of a text that are asked for beside the forest, from the second round on.
+MORE = 4
 
 #: Members of a shard that one task compares, at most.
 MAX_SHARD = 2048
@@ -77,6 +82,14 @@ def set_names(value: np.ndarray, border: np.ndarray) -> np.ndarray:
     return mix(total[border[1:]] - total[border[:-1]] + np.diff(border).astype(np.uint64)).view(np.int64)
 
 
+def parities(value: np.ndarray, border: np.ndarray) -> np.ndarray:
+    """Bit b of a set's bitmap: whether an odd number of its hashes are b modulo the bitmap's size."""
+    sets, bits = len(border) - 1, 64 * WORDS
+    place = np.repeat(np.arange(sets), np.diff(border)) * bits + (value % np.uint64(bits)).astype(np.int64)
+    odd = (np.bincount(place, minlength=sets * bits) & 1).astype(np.uint8)
+    return np.packbits(odd).reshape(sets, bits // 8)
+
+
 def least_hashes(value: np.ndarray, border: np.ndarray) -> np.ndarray:
     """(sets, SHARDS): each set's least hash under each order; zero for empty sets."""
     out = np.zeros((len(border) - 1, SHARDS), np.uint64)
@@ -150,9 +163,9 @@ def pair_names(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(a.view(np.uint64) ^ mix(b.view(np.uint64)))
 
 
-def candidates(group: np.ndarray, name: np.ndarray, n: np.ndarray, fp: np.ndarray, root: np.ndarray, passive: np.ndarray, refused: np.ndarray, p: int, q: int, radius: int, more: int = 0) -> np.ndarray:
-    """Pairs of rows, of one group each, that may be links: nearest first, as many as join all the components that such
-    pairs join, and beside them the `more` nearest of each row.
+def candidates(group: np.ndarray, name: np.ndarray, n: np.ndarray, fp: np.ndarray, root: np.ndarray, passive: np.ndarray, refused: np.ndarray, p: int, q: int, radius: int, more: int = 0, bitmap: np.ndarray | None = None) -> np.ndarray:
+    """Pairs of rows, of one group each, that may be links: most alike first, as many as join all the components that such
+    pairs join, and beside them the `more` most alike ones of each row.
 
     Rows are sorted by group and n. Two passive rows are in one component already and not compared. refused: pair_names()
     of pairs that are none, ascending.
@@ -170,10 +183,17 @@ def candidates(group: np.ndarray, name: np.ndarray, n: np.ndarray, fp: np.ndarra
     held: list[np.ndarray] = []
     size = 0
 
+    def apart(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Shares of shingles, at least, that are in one of both sets only; without bitmaps the fingerprints' bits that differ."""
+        if bitmap is None:
+            return np.bitwise_count(value[i] ^ value[j])
+        out = [np.bitwise_count(bitmap[i[a : a + 4096]] ^ bitmap[j[a : a + 4096]]).sum(1, dtype=np.int64) for a in range(0, len(i), 4096)]
+        return np.concatenate(out) / np.maximum(n[i] + n[j], 1) if out else np.zeros(0)
+
     def reduced() -> list[np.ndarray]:
         pairs = np.concatenate(held)
         i, j = pairs.T
-        distance = np.bitwise_count(value[i] ^ value[j])
+        distance = apart(i, j)
         pairs = pairs[np.lexsort((name[j], name[i], distance))]
         use = np.zeros(len(pairs), bool)
         use[forest(pairs[:, 0], pairs[:, 1], label)] = True
@@ -193,6 +213,10 @@ def candidates(group: np.ndarray, name: np.ndarray, n: np.ndarray, fp: np.ndarra
             own = pair_names(name[i], name[j])
             asked = refused[np.minimum(np.searchsorted(refused, own), len(refused) - 1)] == own
             i, j = i[~asked], j[~asked]
+        if bitmap is not None and len(i):
+            # common shingles are at least p / (p + q) of both sets', so at most (q - p) / (p + q) differ
+            near = apart(i, j) * (p + q) <= (q - p) * (1 + 1e-12)
+            i, j = i[near], j[near]
         if len(i):
             held.append(np.stack([np.minimum(i, j), np.maximum(i, j)], 1))
             size += len(i)
@@ -233,16 +257,15 @@ def links(docs: DataFrame, sets: DataFrame, p: int, q: int, shingle: int, radius
     """
 
     def several(batch: pa.RecordBatch):
-        """The shards in which two sets may be alike by their sizes, each named by its members, so that equal ones become one."""
+        """The members of shards that may be links there, each shard named by them, so that equal ones become one."""
         key, name, n, fp = (np.asarray(batch.column(i)) for i in range(4))
         border = _runs(key)
-        close = np.zeros(len(key), bool)
-        close[1:] = (key[1:] == key[:-1]) & (p * n[1:] <= q * n[:-1])
-        stays = close | np.concatenate([close[1:], [False]])
         group = np.repeat(np.arange(len(border) - 1), np.diff(border))
+        found = candidates(group, name, n, fp, np.arange(len(key)), np.zeros(len(key), bool), np.zeros(0, np.uint64), p, q, radius)
+        stays = np.unique(found)
         total = np.zeros(len(border) - 1, np.uint64)
         np.add.at(total, group[stays], mix(name[stays].view(np.uint64) + np.uint64(1)))
-        if stays.any():
+        if len(stays):
             yield pa.RecordBatch.from_arrays([pa.array(total.view(np.int64)[group[stays]]), pa.array(name[stays]), pa.array(n[stays]), pa.array(fp[stays])], ["g", "name", "n", "fp"])
 
     def tied(batch: pa.RecordBatch, more: int = 0):
@@ -259,7 +282,8 @@ def links(docs: DataFrame, sets: DataFrame, p: int, q: int, shingle: int, radius
         lists = batch.column(6).fill_null(pa.scalar([], pa.list_(pa.int64()))) if batch.column(6).null_count else batch.column(6)
         each = np.diff(np.asarray(lists.offsets))
         refused = np.unique(pair_names(np.repeat(name, each), np.asarray(lists.flatten())))
-        found = candidates(group[use], name[use], n[use], fp[use], root[use], passive[use], refused, p, q, radius, more)
+        bitmap = np.frombuffer(b"".join(batch.column(7).take(pa.array(use)).to_pylist()), np.uint64).reshape(-1, WORDS)
+        found = candidates(group[use], name[use], n[use], fp[use], root[use], passive[use], refused, p, q, radius, more, bitmap)
         if len(found):
             x, y = name[use][found[:, 0]], name[use][found[:, 1]]
             yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
@@ -288,9 +312,11 @@ def links(docs: DataFrame, sets: DataFrame, p: int, q: int, shingle: int, radius
         hubs = salted.select("a", "s").distinct().join(texts.withColumnRenamed("name", "a"), "a").select("a", "s", F.lit(None).cast("long").alias("b"), "text")
         return others.unionByName(hubs).repartition("a", "s").sortWithinPartitions("a", "s", F.asc_nulls_first("b")).mapInArrow(confirm, "a long, b long, ok boolean")
 
+    maps = sets.select("name", "bitmap")
     dealt = shards(sets, max_shard)
     usual, hot = dealt.where(F.col("members") <= max_shard), dealt.where(F.col("members") > max_shard).select(F.col("key").alias("g"), "name", "n", "fp")
-    groups = stored(by_groups(usual.select("key", "name", "n", "fp"), several, "g long, name long, n long, fp long", "n", "name").distinct())
+    groups = by_groups(usual.select("key", "name", "n", "fp"), several, "g long, name long, n long, fp long", "n", "name").distinct()
+    groups = stored(groups.join(maps, "name").select("g", "name", "n", "fp", "bitmap"))
     some_hot = not hot.isEmpty()
     involved = groups.select("name").unionByName(hot.select("name")).distinct()
     involved = sets.select("name", "first.id", "first.th").join(involved, "name", "left_semi")
@@ -305,7 +331,7 @@ def links(docs: DataFrame, sets: DataFrame, p: int, q: int, shingle: int, radius
             no = no.select(F.col("a").alias("name"), "b").unionByName(no.select(F.col("b").alias("name"), F.col("a").alias("b")))
             no = no.groupBy("name").agg(F.collect_set("b").alias("refused"))
             label = lambda df, roots=roots, no=no: df.join(roots, "name", "left").join(no, "name", "left").withColumn("root", F.coalesce("root", "name"))
-        now = label(groups).select("g", "name", "n", "fp", "root", F.lit(False).alias("passive"), "refused")
+        now = label(groups).select("g", "name", "n", "fp", "root", F.lit(False).alias("passive"), "refused", "bitmap")
         if not some_hot:
             found = by_groups(now, lambda batch, more=more: tied(batch, more), _EDGE, "n", "name")
         elif done is None:
@@ -314,7 +340,7 @@ def links(docs: DataFrame, sets: DataFrame, p: int, q: int, shingle: int, radius
             star = hot.join(lead, "g").where((F.col("name") != F.col("lead.name")) & near & (p * F.col("n") <= q * F.col("lead.n")))
             found = by_groups(now, tied, _EDGE, "n", "name").unionByName(star.select(F.col("lead.name").alias("a"), F.col("name").alias("b")))
         else:
-            found = by_groups(now.unionByName(_parts(label(hot), max_shard)), lambda batch, more=more: tied(batch, more), _EDGE, "n", "name")
+            found = by_groups(now.unionByName(_parts(label(hot.join(maps, "name")), max_shard)), lambda batch, more=more: tied(batch, more), _EDGE, "n", "name")
         found = stored(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         asked = found if done is None else found.join(done, ["a", "b"], "left_anti")
         answers = stored(confirmed(asked))
@@ -327,7 +353,7 @@ def links(docs: DataFrame, sets: DataFrame, p: int, q: int, shingle: int, radius
             edges = stored(edges)
             drop_stored(*made)
             return edges
-        more = max(8, 8 * more)  # so that few rounds ask for all that is left
+        more = MORE
 
 
 def _parts(hot: DataFrame, max_shard: int) -> DataFrame:
@@ -339,10 +365,11 @@ def _parts(hot: DataFrame, max_shard: int) -> DataFrame:
     own = F.when(F.col("passive"), F.pmod(F.xxhash64("name"), F.col("p_parts"))).otherwise(F.pmod(F.xxhash64("name"), F.col("a_parts")))
     known = known.withColumn("own", own)
     ranks = lambda n: F.sequence(F.lit(0).cast("long"), F.greatest(n, F.lit(1).cast("long")) - 1)
+    kept = ["name", "n", "fp", "root", "passive", "refused", "bitmap"]
     # a task (kind, x, y): active part x with passive part y, or with active part y >= x
-    with_active = known.where("not passive").withColumn("o", F.explode(ranks(F.col("a_parts")))).select(F.xxhash64("g", F.lit("a"), F.least("own", "o"), F.greatest("own", "o")).alias("g"), "name", "n", "fp", "root", "passive", "refused")
-    to_passive = known.where("not passive").withColumn("o", F.explode(ranks(F.col("p_parts")))).select(F.xxhash64("g", F.lit("p"), "own", "o").alias("g"), "name", "n", "fp", "root", "passive", "refused")
-    of_passive = known.where("passive").withColumn("o", F.explode(ranks(F.col("a_parts")))).select(F.xxhash64("g", F.lit("p"), "o", "own").alias("g"), "name", "n", "fp", "root", "passive", "refused")
+    with_active = known.where("not passive").withColumn("o", F.explode(ranks(F.col("a_parts")))).select(F.xxhash64("g", F.lit("a"), F.least("own", "o"), F.greatest("own", "o")).alias("g"), *kept)
+    to_passive = known.where("not passive").withColumn("o", F.explode(ranks(F.col("p_parts")))).select(F.xxhash64("g", F.lit("p"), "own", "o").alias("g"), *kept)
+    of_passive = known.where("passive").withColumn("o", F.explode(ranks(F.col("a_parts")))).select(F.xxhash64("g", F.lit("p"), "o", "own").alias("g"), *kept)
     return with_active.unionByName(to_passive).unionByName(of_passive)
 
 
@@ -356,10 +383,10 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         value, border = shingle_sets(part.column(2), shingle)
         n = np.diff(border)
         prints = majority(mix(value ^ np.uint64(0xA0761D6478BD642F)), n)
-        return pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(set_names(value, border)), pa.array(n.astype(np.int64)), pa.array(prints.view(np.int64)), _lists(least_hashes(value, border))], ["id", "th", "name", "n", "fp", "mins"])
+        return pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(set_names(value, border)), pa.array(n.astype(np.int64)), pa.array(prints.view(np.int64)), _lists(least_hashes(value, border)), pa.array([x.tobytes() for x in parities(value, border)], pa.binary())], ["id", "th", "name", "n", "fp", "mins", "bitmap"])
 
-    marked = map_texts(slim, work, "id long, th long, name long, n long, fp long, mins array<long>")
-    sets = stored(marked.groupBy("name").agg(F.min(F.struct("id", "th")).alias("first"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("mins").alias("mins")))
+    marked = map_texts(slim, work, "id long, th long, name long, n long, fp long, mins array<long>, bitmap binary")
+    sets = stored(marked.groupBy("name").agg(F.min(F.struct("id", "th")).alias("first"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("mins").alias("mins"), F.first("bitmap").alias("bitmap")))
     edges = links(slim, sets, p, q, shingle, radius, max_shard)
     rooted = sets.select("name", "first").join(label_components(edges).withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))
     best = stored(rooted.groupBy("root").agg(F.min("first").alias("best")).select("best.id", "best.th"))
