@@ -348,15 +348,17 @@ def _copies(rows: DataFrame, least_bytes: int) -> DataFrame:
 
 def spans(rows: DataFrame, units: Units, later: bool, limits: Limits = Limits()) -> DataFrame:
     """rows: keyed(). rows with copy (as in _copies(), null for texts that occur once) and found, an array of (a, n):
-    windows a..a+n-1 stand elsewhere too (later: in an earlier place). Whole copies have no windows listed; see removed()."""
+    windows a..a+n-1 stand elsewhere too (later: in an earlier place). Whole copies have no windows listed; see removed().
+
+    The texts are dealt by id and tag once: all three uses ask for the same columns of all rows, and so read one exchange."""
     marked = rows.join(_copies(rows, units.least_bytes), ["id", "tag"], "left")
-    searched = marked.where((F.octet_length("text") >= units.least_bytes) & F.expr("copy is null or not copy"))
-    runs = searched.select("id", "tag", "text").mapInArrow(_runs(units, later, limits), _RUN_SCHEMA).repartition("h", "s").sortWithinPartitions("h", "s")
+    searched = marked.where("copy is null or not copy").select("id", "tag", "text", "own")  # no filter of texts: it would be put before the exchange
+    runs = searched.mapInArrow(_runs(units, later, limits), _RUN_SCHEMA).repartition("h", "s").sortWithinPartitions("h", "s")
     candidates = runs.mapInArrow(_neighbours(["h", "s"], True, ["id", "tag", "h", "a", "m"]), "id long, tag int, h long, a int, m long")
     hot = candidates.groupBy("h").agg(F.count("*").alias("k")).where(F.col("k") > limits.group_rows).orderBy(F.desc("k"), "h").limit(HOT)
     told = candidates.join(F.broadcast(hot), "h", "left").withColumn("m", F.when(F.col("k").isNull(), F.col("m")).otherwise(F.col("m") + _WIDE))
     lists = told.groupBy("id", "tag").agg((F.collect_set if later else F.collect_list)(F.struct("h", "a", "m")).alias("runs"))
-    cut = rows.select("id", "tag", "text").join(lists, ["id", "tag"]).select("id", "tag", "text", "runs").mapInArrow(_cut(units, later, limits), _PIECE_SCHEMA)
+    cut = rows.join(lists, ["id", "tag"]).select("id", "tag", "text", "runs", "own").mapInArrow(_cut(units, later, limits), _PIECE_SCHEMA)
     found = cut.repartition("h", "s").sortWithinPartitions("h", "s").mapInArrow(_compare(units, later, limits), _FOUND_SCHEMA).repartition("id", "tag")
     # both uses read one exchange; the pieces in it are those of too frequent keys
     wide = found.mapInArrow(_digested(units), "d long, e long, id long, tag int, a int, n int").repartition("d", "e").sortWithinPartitions("d", "e", "id", "tag", "a")

@@ -443,6 +443,26 @@ def test_substring_dedup(spark, limits):
         assert (got[i].n_words, got[i].n_removed, got[i].kept_text) == (len(words), len(gone[i]), kept), i
 
 
+def _text_exchanges(run):
+    """Shuffles of whole texts in the plan as it ran, those that read another one again left out; joins as large tables have them."""
+    from pyspark.sql import SparkSession
+
+    spark, setting = SparkSession.getActiveSession(), "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(setting, "-1")
+    try:
+        df = run(spark, SMALL)
+        df.collect()
+        plan = df._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    finally:
+        spark.conf.unset(setting)
+    ran = re.findall(r"[ -] Exchange \((\d+)\)", plan.split("== Initial Plan ==")[0])
+    return sum(bool(re.search(rf"^\({i}\) Exchange *\nInput \[\d+\]: \[.*\btext#", plan, re.M)) for i in ran)
+
+
+def test_suffix_dedup_deals_texts_once(spark):
+    assert _text_exchanges(queries.op5_suffix_dedup) == 1
+
+
 @pytest.mark.parametrize("later", [False, True])
 def test_long_runs_are_split(later):
     """Windows of a run are listed once, whatever it is split into; those that go round are settled."""
