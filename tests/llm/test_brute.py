@@ -463,6 +463,10 @@ def test_suffix_dedup_deals_texts_once(spark):
     assert _text_exchanges(queries.op5_suffix_dedup) == 1
 
 
+def test_substring_dedup_deals_texts_once(spark):
+    assert _text_exchanges(queries.op7_substring_dedup) == 1
+
+
 @pytest.mark.parametrize("later", [False, True])
 def test_long_runs_are_split(later):
     """Windows of a run are listed once, whatever it is split into; those that go round are settled."""
