@@ -467,6 +467,42 @@ def test_substring_dedup_deals_texts_once(spark):
     assert _text_exchanges(queries.op7_substring_dedup) == 1
 
 
+def _by_hash(spark, n):
+    """n ids in the order of their hash."""
+    return [r.id for r in spark.range(n).orderBy(F.xxhash64("id"), "id").collect()]
+
+
+def test_rules_learn_from_all_labels(spark):
+    """Good rows are found, wherever they stand among 12 040."""
+    ids = _by_hash(spark, 12_040)
+    good = set(ids[12_000:])
+    docs = spark.createDataFrame([(i, " ".join(f"word{(i + k) % 997}" for k in range(60)) + ("" if i in good else " ##" * 30)) for i in ids], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i in good)) for i in ids], "doc_id long, quality int")
+    rows = rules.judge(docs, labels).collect()
+    assert not any(r.base_failed for r in rows) and {r.doc_id for r in rows if r.kept} == good
+
+
+def test_trees_draw_from_all_rows(spark):
+    rng = np.random.default_rng(2)
+    h, x = rng.integers(-(2**63), 2**63 - 1, 5000), rng.random((5000, 2))
+    rows = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(h, x)], "h long, points array<double>")
+    own, other = (rules.draw(rows.repartition(k), 5000, 2, 30, 64) for k in (1, 6))
+    for c in range(2):
+        assert all(len(v) == 64 and np.isin(v, x[:, c]).all() for v in own[c])
+        assert all((v == w).all() for v, w in zip(own[c], other[c]))
+        assert len(set(np.concatenate(own[c]).tolist())) > 1200  # 1920 draws out of 5000
+    few = rules.draw(rows.limit(9), 9, 2, 3, 64)
+    assert [len(v) for c in few for v in c] == [9] * 6
+
+
+def test_calibration_of_counts():
+    rng = np.random.default_rng(4)
+    for most in (0.0, 0.01, 0.2):
+        scores, good, times = rng.permutation(60) / 60, rng.random(60) < 0.8, rng.integers(1, 9, 60)
+        want = rules.calibrate(np.repeat(scores, times), np.repeat(good, times), most, 2.0)
+        assert rules.calibrate(scores, good, most, 2.0, times) == want
+
+
 @pytest.mark.parametrize("later", [False, True])
 def test_long_runs_are_split(later):
     """Windows of a run are listed once, whatever it is split into; those that go round are settled."""
