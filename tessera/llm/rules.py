@@ -130,21 +130,6 @@ def measured(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return stored(map_texts(docs.select(F.col(quoted(id_col)).alias("own"), F.col(quoted(text_col)).alias("text")), work, schema))
 
 
-def sample_stats(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, max_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """COUNTS, rates and labels of a bounded sample of labelled documents, in the order of a hash of their ids."""
-    picked = labels.where(F.col(quoted(id_col)).isNotNull() & F.col(quoted(label_col)).isNotNull()).select(F.col(quoted(id_col)).alias("__id"), F.col(quoted(label_col)).cast("int").alias("__label")).distinct()
-    picked = picked.orderBy(F.xxhash64("__id"), "__id", "__label").limit(max_rows)
-    joined = docs.select(F.col(quoted(id_col)).alias("__id"), F.col(quoted(text_col)).alias("text")).join(F.broadcast(picked), "__id")  # max_rows at most
-    schema = "__id long, __label int, counts array<long>, rates array<double>"
-
-    def work(part: pa.RecordBatch) -> pa.RecordBatch:
-        counts, rates = stats(part.column(2))
-        return pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(list(counts), pa.list_(pa.int64())), pa.array(list(rates), pa.list_(pa.float64()))], ["__id", "__label", "counts", "rates"])
-
-    found = map_texts(joined.select(F.col("__id").cast("long").alias("__id"), "__label", "text"), work, schema).orderBy(F.xxhash64("__id"), "__id", "__label", "rates").limit(max_rows).collect()
-    return np.array([r.counts for r in found], np.int64).reshape(-1, len(COUNTS)), np.array([r.rates for r in found], float).reshape(-1, len(RATES)), np.array([r["__label"] for r in found], int)
-
-
 def rows_of(lists: pa.Array, width: int, kind: type = float) -> np.ndarray:
     """A column of lists of one length, as (n, width)."""
     return np.asarray(lists.flatten(), kind).reshape(-1, width)

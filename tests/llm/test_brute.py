@@ -472,6 +472,41 @@ def _by_hash(spark, n):
     return [r.id for r in spark.range(n).orderBy(F.xxhash64("id"), "id").collect()]
 
 
+def test_ranking_learns_from_all_labels(spark):
+    """The one bad row tells, wherever it stands among 13 000."""
+    ids = _by_hash(spark, 13_000)
+    docs = spark.createDataFrame([(i, "### $$$ ###" if i == ids[-1] else f"some usual words and {i % 7}") for i in ids], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i != ids[-1])) for i in ids], "doc_id long, quality int")
+    got = {r.doc_id: r.predicted for r in quality.score_documents(docs, labels).collect()}
+    assert got == {i: int(i != ids[-1]) for i in ids}
+
+
+def test_ranking_in_blocks(spark):
+    """Every row is in the means, in each round of pairs and in the threshold; results do not depend on partitions."""
+    rng = np.random.default_rng(3)
+    rates = rng.random((700, len(textstats.RATES)))
+    label = (rng.random(700) < 0.1 + 0.8 * rates[:, 0]).astype(int)
+    rows = spark.createDataFrame([(int(y), x.tolist(), i) for i, (x, y) in enumerate(zip(rates, label))], "label int, rates array<double>, h long")
+    table, blocks = quality.in_blocks(rows, int(label.sum()), int((1 - label).sum()), 20, 8)
+    assert blocks == 35
+    found = list(quality._unpacked(pa.Table.from_pandas(table.toPandas(), preserve_index=False).to_batches()))
+    assert all(len(good) and len(bad) for _, good, bad, _ in found)
+    assert sorted(x for *_, first in found for x in first[:, 0].tolist()) == sorted(rates[:, 0].tolist())
+    own, other = (quality.learn(rows.repartition(k), pairs=2000, block=20, rarer=8) for k in (1, 5))
+    assert (own.w == other.w).all() and own.threshold == other.threshold
+    x = quality.features(rates)
+    assert np.allclose(own.mean, x.mean(0)) and np.allclose(own.spread, x.std(0) + 1e-6)
+    assert own.threshold == pytest.approx(np.quantile(own.scaled(rates) @ own.w, (label == 0).mean()))
+    assert ((own.scores(rates) >= 0.5) == label).mean() > 0.7
+
+
+@pytest.mark.parametrize("share", [0.0, 0.013, 0.5, 1.0])
+def test_quantile(spark, share):
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.normal(0, 1, 500), np.full(300, 0.25), [1e9, -1e-300, 1e-300]])
+    assert quality.quantile(spark.createDataFrame([(float(v),) for v in x], "x double"), share) == pytest.approx(np.quantile(x, share), abs=1e-15)
+
+
 def test_rules_learn_from_all_labels(spark):
     """Good rows are found, wherever they stand among 12 040."""
     ids = _by_hash(spark, 12_040)
