@@ -35,6 +35,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
+from collections.abc import Iterable
 from itertools import chain
 
 import numpy as np
@@ -121,6 +122,7 @@ class Counts:
         self.whole = len(frequent) == self.types
         self.n = {w: n for n, w in frequent}
         self.n |= {END: r.n for r in table.where(F.col("token") == F.lit(END)).collect()}  # a row at most
+        self.frequent = len(set(self.n) | {END})
         ranked = [w for _, w in frequent if w != END]
         head, others = [END] + ranked[:HEAD], sorted(ranked[HEAD:vocabulary], key=lambda w: (w[::-1], w))
         #: Words with vectors: the classes of their own, then the groups, one after another.
@@ -191,6 +193,7 @@ class LogBilinear:
 
     def __init__(self, counts: Counts, seed: int = 3):
         rng, v = np.random.default_rng(seed), len(counts.vocabulary)
+        self.classes = len(counts.shares)
         self.shares, self.head, self.borders, self.group, self.within = counts.shares, counts.head, counts.borders, counts.group, counts.within
         small = lambda n: rng.normal(0, 0.1, (n, WIDTH)).astype(np.float32)
         self.vector = small(v + BUCKETS + 1)
@@ -214,31 +217,40 @@ class LogBilinear:
             flat = flat[x.size :]
 
     def predicted(self, sequence: np.ndarray, at: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(at), WIDTH), np.float32)
-        for j in range(CONTEXT):
-            out += self.vector[sequence[at - 1 - j]] * self.weight[j]
+        return self._sums([self.vector * w for w in self.weight], sequence, at)
+
+    @staticmethod
+    def _sums(weighted: list[np.ndarray], sequence: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Sums of the places' vectors, which are weighted already."""
+        out = weighted[0].take(sequence.take(at - 1), 0)
+        for j in range(1, CONTEXT):
+            out += weighted[j].take(sequence.take(at - 1 - j), 0)
         return out
 
     def log_probabilities(self, sequence: np.ndarray, at: np.ndarray, own: np.ndarray, word: np.ndarray, step: int = 1024) -> np.ndarray:
         """Natural log-probabilities, at the places `at`, of the classes `own` times those of the words `word` in them (-1: of the class alone)."""
-        hidden = np.empty((len(at), WIDTH), np.float32)
+        hidden = np.ones((len(at), WIDTH + 1), np.float32)  # its last column is for the biases
         out = np.zeros(len(at))
+        weighted = [self.vector * w for w in self.weight]
+        target, words = np.column_stack([self.target, self.bias]).T.copy(), np.column_stack([self.word, self.word_bias])
+        size = lambda x: float(np.sqrt(np.einsum("ij,ij->i", x, x).max())) if len(x) else 0.0
+        longest, longest_word = size(target.T), size(words[self.head :])
+        buffer = np.empty(step * target.shape[1], np.float32)
         for a in range(0, len(at), step):  # steps whose scores stay in the processor's cache
-            hidden[a : a + step] = self.predicted(sequence, at[a : a + step])
-            scores = hidden[a : a + step] @ self.target.T
-            scores += self.bias
-            out[a : a + step] = _log_share(scores, own[a : a + step])
+            here = hidden[a : a + step]
+            here[:, :WIDTH] = self._sums(weighted, sequence, at[a : a + step])
+            scores = np.matmul(here, target, out=buffer[: len(here) * target.shape[1]].reshape(len(here), -1))
+            out[a : a + step] = _log_share(scores, own[a : a + step], size(here) * longest)
         grouped = np.flatnonzero(word >= self.head)
-        by = grouped[np.argsort(own[grouped], kind="stable")]
+        by = grouped[np.argsort(own[grouped].astype(np.int16 if self.classes < 2**15 else np.int64), kind="stable")]
         edge = np.flatnonzero(np.concatenate([[True], np.diff(own[by]) != 0, [True]])) if len(by) else np.zeros(1, np.int64)
         for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
             g = int(own[by[a]]) - self.head
             first, past = int(self.borders[g]), int(self.borders[g + 1])
-            for c in range(a, b, 4 * step):
-                rows = by[c : min(c + 4 * step, b)]
-                scores = hidden[rows] @ self.word[first:past].T
-                scores += self.word_bias[first:past]
-                out[rows] += _log_share(scores, word[rows] - first)
+            for c in range(a, b, step):
+                rows = by[c : min(c + step, b)]
+                here = hidden.take(rows, 0)
+                out[rows] += _log_share(here @ words[first:past].T, word[rows] - first, size(here) * longest_word)
         return out
 
     def train(self, sequence: np.ndarray, at: np.ndarray, own: np.ndarray, word: np.ndarray, rng: np.random.Generator, rate: float = 0.08, noise: int = 32, within: int = 2, step: int = 8192) -> None:
@@ -253,59 +265,73 @@ class LogBilinear:
             pick = order[a : a + step]
             here, cls = at[pick], own[pick]
             drawn = rng.choice(len(self.shares), noise, p=self.shares)
-            before = np.stack([sequence[here - 1 - j] for j in range(CONTEXT)])
-            vectors = self.vector[before]
-            hidden = np.einsum("cij,cj->ij", vectors, self.weight)
-            true = np.einsum("ij,ij->i", hidden, self.target[cls]) + self.bias[cls] - log_noise[cls]
-            false = hidden @ self.target[drawn].T + self.bias[drawn] - log_noise[drawn]
+            before = np.stack([sequence.take(here - 1 - j) for j in range(CONTEXT)])
+            vectors = self.vector.take(before, 0)
+            hidden = vectors[0] * self.weight[0]
+            for j in range(1, CONTEXT):
+                hidden += vectors[j] * self.weight[j]
+            right, offset = self.target.take(cls, 0), self.bias - log_noise
+            true = np.einsum("ij,ij->i", hidden, right) + offset.take(cls)
+            false = hidden @ self.target[drawn].T
+            false += offset[drawn]
             d_true, d_false = _sigmoid(true) - 1, _sigmoid(false)  # the gradients of the loss
-            d_hidden = d_true[:, None] * self.target[cls] + d_false @ self.target[drawn]
+            right *= d_true[:, None]
+            d_hidden = d_false @ self.target[drawn]
+            d_hidden += right
             n = len(here)
-            class_rows, class_values = np.concatenate([cls, drawn]), np.concatenate([d_true[:, None] * hidden, d_false.T @ hidden])
-            class_bias = np.concatenate([d_true, d_false.sum(0)])
+            class_rows, class_bias = np.concatenate([cls, drawn]), np.concatenate([d_true, d_false.sum(0)])
+            hidden_columns, false_columns = hidden.T.copy(), (d_false.T @ hidden).T
             m = np.flatnonzero(word[pick] >= self.head)
             if len(m):
-                w, h = word[pick][m], hidden[m]
-                u = self.group[w - self.head][:, None] + rng.random((len(m), within))
-                lies = np.searchsorted(upto, u, "right")
-                others = self.head + np.clip(lies, (self.borders[:-1] - self.head)[self.group[w - self.head]][:, None], (self.borders[1:] - self.head - 1)[self.group[w - self.head]][:, None])
-                true2 = np.einsum("ij,ij->i", h, self.word[w]) + self.word_bias[w] - log_within[w - self.head]
-                noisy = self.word[others]
-                false2 = np.einsum("ij,ikj->ik", h, noisy) + self.word_bias[others] - log_within[others - self.head]
+                w, h = word[pick][m], hidden.take(m, 0)
+                g = self.group.take(w - self.head)
+                lies = np.searchsorted(upto, g[:, None] + rng.random((len(m), within)), "right")
+                others = self.head + np.clip(lies, (self.borders[:-1] - self.head)[g][:, None], (self.borders[1:] - self.head - 1)[g][:, None])
+                right, offset = self.word.take(w, 0), self.word_bias[self.head :] - log_within
+                true2 = np.einsum("ij,ij->i", h, right) + offset.take(w - self.head)
+                noisy = self.word.take(others, 0)
+                false2 = np.einsum("ij,ikj->ik", h, noisy) + offset.take(others - self.head)
                 d_true2, d_false2 = _sigmoid(true2) - 1, _sigmoid(false2)
-                d_hidden[m] += d_true2[:, None] * self.word[w] + np.einsum("ik,ikj->ij", d_false2, noisy)
+                right *= d_true2[:, None]
+                for k in range(within):
+                    right += d_false2[:, k, None] * noisy[:, k]
+                d_hidden[m] += right
                 rows = np.concatenate([w, others.ravel()])
-                self._update("word", rows, np.concatenate([d_true2[:, None] * h, (d_false2[:, :, None] * h[:, None, :]).reshape(-1, WIDTH)]), n, rate)
-                self._update("word_bias", rows, np.concatenate([d_true2, d_false2.ravel()]), n, rate)
+                self._update("word", rows, (np.concatenate([d_true2 * x, (d_false2 * x[:, None]).ravel()]) for x in h.T.copy()), n, rate)
+                self._update("word_bias", rows, [np.concatenate([d_true2, d_false2.ravel()])], n, rate)
             weight = np.einsum("ij,cij->cj", d_hidden, vectors)
-            self._update("vector", before.ravel(), (d_hidden[None] * self.weight[:, None, :]).reshape(-1, WIDTH), n, rate)
-            self._update("target", class_rows, class_values, n, rate)
-            self._update("bias", class_rows, class_bias, n, rate)
-            self._update("weight", np.arange(CONTEXT), weight, n, rate)
+            self._update("vector", before.ravel(), (np.multiply.outer(self.weight[:, c], x).ravel() for c, x in enumerate(d_hidden.T.copy())), n, rate)
+            self._update("target", class_rows, (np.concatenate([d_true * x, y]) for x, y in zip(hidden_columns, false_columns)), n, rate)
+            self._update("bias", class_rows, [class_bias], n, rate)
+            self._update("weight", np.arange(CONTEXT), weight.T, n, rate)
 
-    def _update(self, name: str, rows: np.ndarray, values: np.ndarray, n: int, rate: float) -> None:
+    def _update(self, name: str, rows: np.ndarray, columns: Iterable[np.ndarray], n: int, rate: float) -> None:
+        """columns: of the rows' gradients, one after another, each small enough for the processor's cache."""
         x, state = getattr(self, name), self.state[name]
-        wide = x.ndim == 2
         touched = np.flatnonzero(np.bincount(rows, minlength=len(x)))
-        if wide:
-            total = np.stack([np.bincount(rows, column, len(x))[touched] for column in np.ascontiguousarray(values.T)], 1)
-        else:
-            total = np.bincount(rows, values, len(x))[touched]
-        gradient = (total / n).astype(np.float32)
-        state[touched] += gradient**2
-        x[touched] -= rate * gradient / np.sqrt(state[touched])
+        total = [np.bincount(rows, column, len(x)).take(touched) for column in columns]
+        gradient = ((np.stack(total, 1) if x.ndim == 2 else total[0]) / n).astype(np.float32)
+        squares = state.take(touched, 0)
+        squares += gradient**2
+        state[touched] = squares
+        x[touched] -= rate * gradient / np.sqrt(squares)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    """Changes x."""
+    np.clip(x, -30, 30, out=x)
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
-def _log_share(scores: np.ndarray, which: np.ndarray) -> np.ndarray:
-    """Log-softmax of each row, at one column; changes scores."""
+def _log_share(scores: np.ndarray, which: np.ndarray, most: float) -> np.ndarray:
+    """Log-softmax of each row, at one column; changes scores. most: a bound of their sizes."""
     own = scores[np.arange(len(scores)), which]
     if not len(scores):
         return own
-    if scores.max() > 60 or scores.min() < -60:  # beyond what sums of single-precision exponentials hold
+    if not most < 60 and (scores.max() > 60 or scores.min() < -60):  # beyond what sums of single-precision exponentials hold
         scores = scores.astype(np.float64) - scores.max(1, keepdims=True)
         own = scores[np.arange(len(scores)), which]
     return own - np.log(np.exp(scores, out=scores).sum(1))
@@ -391,7 +417,7 @@ def _copy(model: LogBilinear) -> LogBilinear:
 
 def _learn(model: LogBilinear, counts: Counts, texts: list[np.ndarray], rng: np.random.Generator, step: int = 8192) -> None:
     """A step or more over texts of codes as training has them: vocabulary numbers, or classes of buckets after all frequent words."""
-    v, frequent = len(counts.vocabulary), len(set(counts.n) | {END})
+    v, frequent = len(counts.vocabulary), counts.frequent
     codes = np.concatenate(texts).astype(np.int64)
     inside = codes < v
     classes = np.concatenate([np.arange(counts.head), counts.head + counts.group]).astype(np.int64)
@@ -439,6 +465,10 @@ def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", t
         # what the sums of logs of counts have too much: all of it for the vocabulary, else what a count is divided by within its bucket
         divide = np.log10(np.maximum(counts.bucket[:, 0], 0) + 0.1 * (np.maximum(counts.bucket[:, 1], 0) + 1))
         less = np.concatenate([words.logs[:v], divide[words.context[v:] - v]])
+        place = np.arange(len(words.logs))
+        is_held = (place < frequent) & (words.logs > np.log10(0.5))  # END may have no count
+        known_logs = np.where(is_held | (place < v) | counts.whole, words.logs, 0.0)
+        target_word = np.where(place < v, place, -1)
         for batch in batches:
             for part in pieces(batch, "text"):
                 texts = [_tokens(t) for t in part.column(2).to_pylist()]
@@ -446,14 +476,12 @@ def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", t
                 codes = np.fromiter(map(words.__getitem__, chain.from_iterable(texts)), np.int64, border[-1])
                 words.trim()
                 sequence, at = sequences(codes, border, words.context, model.start)
-                logp = model.log_probabilities(sequence, at, words.classes[codes], np.where(codes < v, codes, -1)) / np.log(10) - less[codes]
-                held = (codes < frequent) & (words.logs[codes] > np.log10(0.5))  # END may have no count
-                inside = codes < v
-                logs = np.where(held | inside | counts.whole, words.logs[codes], 0.0)
-                modelled, known, n_known = (np.add.reduceat(x, border[:-1]) for x in (logp, logs, held.astype(np.int64)))
+                logp = model.log_probabilities(sequence, at, words.classes.take(codes), target_word.take(codes)) / np.log(10) - less.take(codes)
+                held = is_held.take(codes)
+                modelled, known, n_known = (np.add.reduceat(x, border[:-1]) for x in (logp, known_logs.take(codes), held.astype(np.int64)))
                 rest = [[] for _ in texts]
                 if not counts.whole:
-                    missing = np.flatnonzero(~held & ~inside)
+                    missing = np.flatnonzero(~held & (codes >= v))
                     for d, (i, j) in enumerate(zip(*np.searchsorted(missing, [border[:-1], border[1:]]).tolist())):
                         rest[d] = [{"token": t, "times": k} for t, k in Counter(texts[d][m] for m in (missing[i:j] - border[d]).tolist()).items()]
                 n = part.num_rows

@@ -361,6 +361,34 @@ def test_lm_scores_by_plain_loops(spark, small_model):
         assert got[i] == pytest.approx(own, abs=1e-4)
 
 
+def test_lm_step_does_not_list_all_types(small_model):
+    """What a step costs depends on its tokens: the types counted, hundreds of thousands, are not gone through."""
+    import copy
+
+    _, counts, model = small_model
+    rng = np.random.default_rng(0)
+    texts, got = [rng.integers(0, 401, 300) for _ in range(3)], []
+    for n in (counts.n, None):
+        own, mine = copy.copy(counts), lm._copy(model)
+        own.n = n
+        lm._learn(mine, own, texts, np.random.default_rng(1))
+        got.append(mine.flat())
+    assert (got[0] == got[1]).all() and (got[0] != model.flat()).any()
+
+
+def test_lm_update_by_plain_loops(small_model):
+    model = lm._copy(small_model[2])
+    rng = np.random.default_rng(0)
+    rows, values = rng.integers(0, 50, 400), rng.normal(size=(400, lm.WIDTH)).astype(np.float32)
+    x, state = model.vector.astype(float), model.state["vector"].astype(float)
+    for r in set(rows.tolist()):
+        g = values[rows == r].astype(float).sum(0) / 100
+        state[r] += g**2
+        x[r] -= 0.08 * g / np.sqrt(state[r])
+    model._update("vector", rows, values.T, 100, 0.08)
+    assert np.allclose(model.vector, x, atol=1e-6) and np.allclose(model.state["vector"], state, rtol=1e-4)
+
+
 def test_lm_does_not_depend_on_partitions(spark, texts):
     docs = spark.createDataFrame(sorted(texts.items())[:60], "doc_id long, text string")
     scores = []
