@@ -24,8 +24,16 @@ def _prefix(df: DataFrame, order: list, measure: Column, name: str) -> DataFrame
 
 
 def with_ordinal(df: DataFrame, order: list, name: str = "ordinal") -> DataFrame:
-    """df with 0, 1, 2, ... in order."""
-    return _prefix(df, order, F.lit(1).cast("long"), name)
+    """df with 0, 1, 2, ... in order: a row's place in its partition, after the rows of those before. Sorted rows are neither dealt nor sorted again."""
+    sorted_ = settled(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__i", F.monotonically_increasing_id()))
+    part = F.shiftright("__i", 33).cast("int")
+    before, running = {}, 0
+    for r in sorted(sorted_.groupBy(part.alias("p")).count().collect(), key=lambda r: r["p"]):  # a row for each partition
+        before[r["p"]] = running
+        running += r["count"]
+    offsets = df.sparkSession.createDataFrame(list(before.items()) or [(0, 0)], "__p int, __b long")
+    out = sorted_.withColumn("__p", part).join(F.broadcast(offsets), "__p")
+    return out.withColumn(name, F.col("__b") + F.col("__i").bitwiseAND(F.lit((1 << 33) - 1))).drop("__p", "__i", "__b")
 
 
 def with_running_sum(df: DataFrame, order: list, measure: Column, name: str) -> DataFrame:
