@@ -98,7 +98,7 @@ def cigar_spans(spark, sf_dir):
 
 @query(f"WITH {X.SQL_OVERLAPS} SELECT {_KEYS}, CAST(CASE WHEN ordinal % 2 = 0 THEN 0 ELSE t_begin END AS BIGINT) AS clip FROM laps")
 def cigar_clip_start(spark, sf_dir):
-    c = X.ordered_overlaps(spark, sf_dir)
+    c = X.ordered_overlaps(spark, sf_dir, *_NAMES, "cigar", "t_begin")
     cigar = F.when(F.col("ordinal") % 2 == 0, F.col("cigar")).otherwise(F.concat(F.col("t_begin").cast("string"), F.lit("S"), "cigar"))
     return c.select(*_NAMES, S.clip_start(cigar).alias("clip"))
 
@@ -115,7 +115,7 @@ def overlap_filter_fragment(spark, sf_dir):
 
 @query(f"WITH {X.SQL_OVERLAPS} SELECT ordinal, q_id, ordinal - row_number() OVER (PARTITION BY q_id ORDER BY ordinal) AS island FROM laps")
 def overlap_islands(spark, sf_dir):
-    return with_islands(X.ordered_overlaps(spark, sf_dir)).select("ordinal", "q_id", "island")
+    return with_islands(X.ordered_overlaps(spark, sf_dir, "q_id")).select("ordinal", "q_id", "island")
 
 
 _BEST = f"""
@@ -128,7 +128,7 @@ best AS (SELECT * FROM p WHERE place = 1)"""
 
 @query(f"{_BEST} SELECT ordinal, q_id, t_id, island, length, error FROM best")
 def overlap_best_per_run(spark, sf_dir):
-    return best_per_run(X.ordered_overlaps(spark, sf_dir)).select("ordinal", "q_id", "t_id", "island", "length", "error")
+    return best_per_run(X.ordered_overlaps(spark, sf_dir, "q_id", "t_id", "length", "error")).select("ordinal", "q_id", "t_id", "island", "length", "error")
 
 
 _TILES = f"""
@@ -165,7 +165,7 @@ WITH {X.SQL_OVERLAPS}, o AS (
 
 
 def _points(spark, sf_dir):
-    own = X.ordered_overlaps(spark, sf_dir).select("ordinal", "t_id", "cigar", "t_begin", F.col("q_begin").alias("q_start"))
+    own = X.ordered_overlaps(spark, sf_dir, "t_id", "cigar", "t_begin", "q_begin").withColumnRenamed("q_begin", "q_start")
     return L.breaking_points(own, ["ordinal", "t_id"], WINDOW)
 
 
@@ -184,7 +184,7 @@ def layers_filtered(spark, sf_dir):
 @query(f"{_BEST} SELECT p_partkey AS t_id, coalesce(n, 0) AS rc FROM part LEFT JOIN (SELECT t_id, count(*) AS n FROM best GROUP BY t_id) ON p_partkey = t_id")
 def coverage_per_target(spark, sf_dir):
     targets = X.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("t_id"))
-    return L.coverage(targets, best_per_run(X.ordered_overlaps(spark, sf_dir)))
+    return L.coverage(targets, best_per_run(X.ordered_overlaps(spark, sf_dir, "q_id", "t_id", "length", "error")))
 
 
 @query(f"{_POINTS} SELECT depth, count(*) AS windows FROM (SELECT t_id, rank, count(*) AS depth FROM wide GROUP BY t_id, rank) GROUP BY depth")

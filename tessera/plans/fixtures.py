@@ -39,9 +39,13 @@ def overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({"t_begin": F.expr("(l_suppkey * 37) % (t_length - t_span + 1)"), "length": overlap_length(F.col("q_span"), F.col("t_span")), "error": overlap_error(F.col("q_span"), F.col("t_span"))})
 
 
-def ordered_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """overlaps with a dense ordinal from 0, in an order that mixes the queries."""
-    return with_ordinal(overlaps(spark, sf_dir), ["shuffle", *ORDER])
+def ordered_overlaps(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """overlaps' named columns, or all, with a dense ordinal from 0, in an order that mixes the queries. What is not asked for is not sorted along."""
+    order = ["shuffle", *ORDER]
+    found = overlaps(spark, sf_dir)
+    slim = found.select(*order, *[c for c in columns if c not in order]) if columns else found
+    ordered = with_ordinal(slim, order)
+    return ordered.select("ordinal", *columns) if columns else ordered
 
 
 _K = ", ".join(ORDER)
